@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from certloom import vocab
 from certloom.functions import dates, numbers
-from certloom.functions.text import compact, fold_width, let, normalize_text, one_of, strip, text
+from certloom.functions.text import compact, fold_width, let, literal_map, normalize_text, one_of, strip, text
 
 
 def cell_text(c: Column | str) -> Column:
@@ -18,7 +18,7 @@ def cell_text(c: Column | str) -> Column:
 
 
 def _map(pairs: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+    return F.try_element_at(literal_map(pairs), key)
 
 
 def _whole(c: Column, pattern: str) -> Column:

@@ -41,6 +41,20 @@ def _quote(word: str) -> str:
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in word)
 
 
+def literal_array(words: Iterable[str]) -> Column:
+    """Constant array of strings."""
+    return F.expr("array(" + ", ".join(_sql(w) for w in words) + ")")
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    """Constant map of strings."""
+    return F.expr("map(" + ", ".join(_sql(x) for pair in pairs.items() for x in pair) + ")")
+
+
+def _sql(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def one_of(c: Column, words: Iterable[str]) -> Column:
     return c.isin(list(words))
 
@@ -271,8 +285,7 @@ def known_label(c: Column | str) -> Column:
     """Known label inside a text: exact token, else the longest contained one."""
 
     def pick(t: Column) -> Column:
-        contained = F.filter(
-            F.array(*[F.lit(k) for k in LABEL_TOKENS_LONGEST_FIRST]), lambda k: F.contains(t, k))
+        contained = F.filter(literal_array(LABEL_TOKENS_LONGEST_FIRST), lambda k: F.contains(t, k))
         return F.when(one_of(t, LABEL_FIELDS), t).when(
             any_of(t, LABEL_TOKENS_LONGEST_FIRST), F.get(contained, F.lit(0)))
 
@@ -281,8 +294,7 @@ def known_label(c: Column | str) -> Column:
 
 def label_field(label: Column) -> Column:
     """Field of a known label token."""
-    pairs = [F.lit(x) for item in LABEL_FIELDS.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), F.coalesce(label, F.lit("")))
+    return F.try_element_at(literal_map(LABEL_FIELDS), F.coalesce(label, F.lit("")))
 
 
 def is_placeholder_name(c: Column | str) -> Column:
@@ -297,28 +309,25 @@ def is_placeholder_code(c: Column | str) -> Column:
     return one_of(token(c), vocab.PLACEHOLDER_CODES)
 
 
-def looks_like_label_line(c: Column | str) -> Column:
-    def test(x: Column) -> Column:
-        return (
-            any_of(label_token(clean_value(x)), LABEL_TOKENS_LONGEST_FIRST)
-            | one_of(token(x), vocab.LABEL_LINE_TOKENS)
-            | any_of(token(x), vocab.LABEL_LINE_MARKS)
-        )
+def _contains_any(words: Iterable[str]) -> str:
+    return "|".join(_quote(w) for w in words)
 
-    return let(text(c), test)
 
+_LABEL_LINE = (
+    "^(?:" + _contains_any(vocab.LABEL_LINE_TOKENS) + ")$|" + _contains_any(vocab.LABEL_LINE_MARKS))
+_POOR_LABEL = "^$|" + _contains_any(["measurementrange", "测量范围", *LABEL_TOKENS_LONGEST_FIRST])
+_POOR_TOKEN = (
+    "^(?:" + _contains_any([*vocab.LABEL_LINE_TOKENS, *vocab.PLACEHOLDER_NAMES, *vocab.PLACEHOLDER_CODES]) + ")$|"
+    + _contains_any([*vocab.LABEL_LINE_MARKS, *vocab.PLACEHOLDER_MODEL_MARKS]))
 
-def is_poor_candidate(c: Column | str) -> Column:
-    """Empty, label-like or placeholder text: no value for a label."""
 
-    def test(x: Column) -> Column:
-        t = label_token(x)
-        return (
-            (t == "") | t.contains("measurementrange") | t.contains("测量范围") | looks_like_label_line(x)
-            | is_placeholder_name(x) | is_placeholder_model(x) | is_placeholder_code(x)
-        )
+def looks_like_label_line(c: Column | str) -> Column:
+    return any_of(label_token(clean_value(c)), LABEL_TOKENS_LONGEST_FIRST) | token(c).rlike(_LABEL_LINE)
 
-    return let(text(c), test)
+
+def is_poor_candidate(c: Column | str) -> Column:
+    """Empty, label-like or placeholder text: no value for a label."""
+    return label_token(c).rlike(_POOR_LABEL) | token(c).rlike(_POOR_TOKEN)
 
 
 def is_low_quality(field: str, c: Column | str) -> Column:
@@ -371,23 +380,16 @@ def context_value(c: Column | str) -> Column:
 # --- model and code cleaning ------------------------------------------------
 
 
+# 'English label:' in front of a value, any number of times, but not the left half of 'MODEL:CODE'
+_MODEL_CODE = (
+    r"(?=[^:：]*[A-Za-z])(?:[A-Za-z0-9\-_./]\s*){4,80}[:：][：:\-\s]*[A-Za-z0-9\-_./]{3,60}\s*$")
+_ENGLISH_LABELS = (
+    rf"^(?:(?!{_MODEL_CODE})(?=[^:：]*[A-Za-z])[A-Za-z0-9\s/().,_-]{{2,120}}[:：][：:\-\s]*(?=\S))+")
+
+
 def strip_english_label(c: Column | str) -> Column:
-    """Cut leading 'English label:' prefixes, at most five, but keep 'MODEL:CODE'."""
-
-    def once(x: Column) -> Column:
-        left = clean_value(F.regexp_extract(x, "(?s)^([^:：]*)[:：](.*)$", 1))
-        right = clean_value(F.regexp_extract(x, "(?s)^([^:：]*)[:：](.*)$", 2))
-        squeezed = compact(left)
-        model_like = (
-            F.length(squeezed).between(4, 80) & squeezed.rlike("[A-Za-z]") & squeezed.rlike(r"^[A-Za-z0-9\-_./]+$"))
-        pair = model_like & right.rlike(r"^[A-Za-z0-9\-_./]{3,60}$")
-        label = left.rlike("[A-Za-z]") & left.rlike(r"^[A-Za-z0-9\s/().,_-]{2,120}$")
-        return F.when(x.rlike("[:：]") & (right != "") & ~pair & label, right).otherwise(x)
-
-    out = clean_value(c)
-    for _ in range(5):
-        out = let(out, once)
-    return out
+    """Cut leading 'English label:' prefixes, but keep 'MODEL:CODE' pairs."""
+    return clean_value(F.regexp_replace(clean_value(c), _ENGLISH_LABELS, ""))
 
 
 _TAIL = r"(?is)(输出容量|额定功率|Rated power).*$"
