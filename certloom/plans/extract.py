@@ -262,8 +262,8 @@ lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n
 
 
 @query("text_block", f"""WITH {_LINES},
-s AS (SELECT doc_id, min(n) AS s FROM lines WHERE regexp_matches(x, 'the |que ') GROUP BY doc_id),
-b AS (SELECT s.doc_id, s.s, min(n) AS e FROM s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.n > s.s AND regexp_matches(l.x, 'ing |oi') GROUP BY ALL)
+s AS (SELECT doc_id, min(n) AS s FROM lines WHERE regexp_matches(x, '(?i)the |que ') GROUP BY doc_id),
+b AS (SELECT s.doc_id, s.s, min(n) AS e FROM s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.n > s.s AND regexp_matches(l.x, '(?i)ing |oi') GROUP BY ALL)
 SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.n) AS block FROM lines l JOIN b ON b.doc_id = l.doc_id AND l.n >= b.s AND (b.e IS NULL OR l.n < b.e)
 GROUP BY l.doc_id""")
 def text_block(spark: SparkSession, sf: str) -> DataFrame:
