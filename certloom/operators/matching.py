@@ -15,6 +15,9 @@ from certloom.functions.text import compact, let, match_text, squeeze, text
 from certloom.operators.extract import _first
 from certloom.operators.lookups import contains_join, lookup_join
 from certloom.operators.ordered import first_per_key, top_per_key
+from certloom.shipping import by_value
+
+by_value(__name__)
 
 # --- rule profiles (a short configured list, compiled to expressions) --------
 

@@ -18,6 +18,9 @@ from certloom.functions.text import let, placeholder_to_null, squeeze, strip, to
 from certloom.operators.cells import SchemaColumn
 from certloom.operators.extract import split_certificate
 from certloom.operators.ordered import first_per_key, running
+from certloom.shipping import by_value
+
+by_value(__name__)
 
 # --- sheets -----------------------------------------------------------------
 
