@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from certloom import vocab
 from certloom.functions import dates, numbers
-from certloom.functions.text import compact, fold_width, let, literal_map, normalize_text, one_of, strip, text
+from certloom.functions.text import compact, fold_width, let, literal_map, one_of, strip, text
 
 
 def cell_text(c: Column | str) -> Column:
-    return compact(normalize_text(c))
+    return compact(c)
 
 
 def _map(pairs: dict[str, str], key: Column) -> Column:

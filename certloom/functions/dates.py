@@ -69,14 +69,16 @@ def add_days(c: Column | str, days: int) -> Column:
 
 def any_date(c: Column | str) -> Column:
     """Only dates with units or plain separators ('2024年1月2日', '2024-1-2')."""
-    x = squeeze(c)
     marked, plain = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})[./-](\d{1,2})[./-](\d{1,2})"
 
-    def build(p: str) -> Column:
-        year = first_group(x, p, 1)
-        return F.when(year.isNotNull(), _cn_parts(year, F.regexp_extract(x, p, 2), F.regexp_extract(x, p, 3)))
+    def build(x: Column) -> Column:
+        def read(p: str) -> Column:
+            year = first_group(x, p, 1)
+            return F.when(year.isNotNull(), _cn_parts(year, F.regexp_extract(x, p, 2), F.regexp_extract(x, p, 3)))
+
+        return F.coalesce(read(marked), read(plain))
 
-    return F.coalesce(build(marked), build(plain))
+    return let(squeeze(c), build)
 
 
 def context_date(c: Column | str) -> Column:
@@ -88,11 +90,14 @@ def context_date(c: Column | str) -> Column:
 
 def iso_date(c: Column | str) -> Column:
     """'YYYY-MM-DD' of a whole-cell date, or null."""
-    value = strip(c)
     pattern = r"^(\d{4})(?:[-/.](\d{1,2})[-/.](\d{1,2})|年(\d{1,2})月(\d{1,2})日?)$"
-    month = F.concat(F.regexp_extract(value, pattern, 2), F.regexp_extract(value, pattern, 4))
-    day = F.concat(F.regexp_extract(value, pattern, 3), F.regexp_extract(value, pattern, 5))
-    return F.when(value.rlike(pattern), _iso(F.substring(value, 1, 4), month, day))
+
+    def build(value: Column) -> Column:
+        month = F.concat(F.regexp_extract(value, pattern, 2), F.regexp_extract(value, pattern, 4))
+        day = F.concat(F.regexp_extract(value, pattern, 3), F.regexp_extract(value, pattern, 5))
+        return F.when(value.rlike(pattern), _iso(F.substring(value, 1, 4), month, day))
+
+    return let(strip(c), build)
 
 
 def first_iso_date(*columns: Column | str) -> Column:

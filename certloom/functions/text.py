@@ -163,9 +163,12 @@ def placeholder_to_null(c: Column | str) -> Column:
 
 def optional_blank(c: Column | str) -> Column:
     """Null for separators only and for bare English date words."""
-    value = strip(c)
-    blank = (value == "") | value.rlike(r"^[/\;；|]+$") | one_of(match_text(value), vocab.DATE_WORDS)
-    return F.when(~blank, value)
+
+    def keep(value: Column) -> Column:
+        blank = (value == "") | value.rlike(r"^[/\\;；|]+$") | one_of(match_text(value), vocab.DATE_WORDS)
+        return F.when(~blank, value)
+
+    return let(strip(c), keep)
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
@@ -223,18 +226,17 @@ def standard_codes(c: Column | str) -> Column:
 
 def basis_mode(c: Column | str) -> Column:
     """'校准' or '检测': checked box first, then exclusive wording, then heading."""
-    out = compact(c)
     mark = "(?:☑|√|✔|■)"
-    calibration = out.contains("校准依据") | out.contains("校准地点")
-    test = out.contains("检测依据") | out.contains("检测地点")
-    return (
-        F.when(out.rlike(f"{mark}校准|校准{mark}"), "校准")
-        .when(out.rlike(f"{mark}检测|检测{mark}"), "检测")
-        .when(calibration & ~test, "校准")
-        .when(test & ~calibration, "检测")
-        .when(out.contains("校准结果"), "校准")
-        .when(out.contains("检测结果"), "检测")
-    )
+
+    def choose(out: Column) -> Column:
+        calibration, test = out.rlike("校准依据|校准地点"), out.rlike("检测依据|检测地点")
+        return (
+            F.when(out.rlike(f"{mark}校准|校准{mark}"), "校准")
+            .when(out.rlike(f"{mark}检测|检测{mark}"), "检测")
+            .when(calibration & ~test, "校准").when(test & ~calibration, "检测")
+            .when(out.contains("校准结果"), "校准").when(out.contains("检测结果"), "检测"))
+
+    return let(compact(c), choose)
 
 
 def infer_basis_mode(c: Column | str) -> Column:
@@ -253,14 +255,15 @@ def unit_token(c: Column | str) -> Column:
 
 def semantic_key(c: Column | str) -> Column:
     """Numeric keys without trailing zeros; powers of ten as 'x10^n'; else lower case."""
-    value = strip(F.regexp_replace(F.replace(squeeze(c), F.lit(","), F.lit("")), "[ΩΩω]$", ""))
-    power = F.regexp_extract(value, r"(?i)^[x×]\s*10\s*(?:\^)?\s*([+-]?\d+)$", 1)
-    number = F.regexp_replace(F.regexp_replace(value, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return (
-        F.when(power != "", F.concat(F.lit("x10^"), power))
-        .when(value.rlike(r"^[+-]?\d+\.\d+$"), number)
-        .otherwise(F.lower(value))
-    )
+
+    def build(value: Column) -> Column:
+        power = F.regexp_extract(value, r"(?i)^[x×]\s*10\s*(?:\^)?\s*([+-]?\d+)$", 1)
+        number = F.regexp_replace(F.regexp_replace(value, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return (
+            F.when(power != "", F.concat(F.lit("x10^"), power)).when(value.rlike(r"^[+-]?\d+\.\d+$"), number)
+            .otherwise(F.lower(value)))
+
+    return let(strip(F.regexp_replace(F.replace(squeeze(c), F.lit(","), F.lit("")), "[ΩΩω]$", "")), build)
 
 
 def series_label(c: Column | str) -> Column:
@@ -351,11 +354,12 @@ def is_low_quality(field: str, c: Column | str) -> Column:
 
 def is_meaningful(c: Column | str) -> Column:
     """A value a report can be made from."""
-    value = strip(c)
-    return (
-        (value != "") & ~value.rlike("^[-/—–_]+$") & (token(value) != "")
-        & ~one_of(token(value), vocab.MEANINGLESS_TOKENS)
-    )
+
+    def test(value: Column) -> Column:
+        words = "^(?:" + "|".join(_quote(w) for w in vocab.MEANINGLESS_TOKENS) + ")?$"
+        return (value != "") & ~value.rlike("^[-/—–_]+$") & ~token(value).rlike(words)
+
+    return let(strip(c), test)
 
 
 def looks_like_label(c: Column | str) -> Column:

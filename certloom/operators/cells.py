@@ -130,7 +130,7 @@ def even_lines(left: Column, right: Column, n: int) -> Column:
 
 
 def slot_cells(cells: DataFrame, schema: list[SchemaColumn], lines: str | None = None) -> DataFrame:
-    """Add the slot of each cell that carries text.
+    """Add the slot of each cell that carries text (null where nothing places it).
 
     cells: (table_id, row, col, column_key, column_label, final_text, bbox).
     lines: column with the x positions of the table's rules; without it a row
@@ -150,13 +150,18 @@ def slot_cells(cells: DataFrame, schema: list[SchemaColumn], lines: str | None =
     slot = slot_index(schema, F.col("col"), F.col("column_key"), F.col("column_label"), center, ruler)
     return filled.withColumns({
         "slot": slot, "x": F.coalesce(center, F.lit(0.0)),
-        "y": F.coalesce((box[1] + box[3]) / 2, F.lit(0.0))}).where(F.col("slot").isNotNull()).drop("__left", "__right")
+        "y": F.coalesce((box[1] + box[3]) / 2, F.lit(0.0))}).drop("__left", "__right")
 
 
 def merge_tokens(tokens: Column) -> Column:
     """Fragments of one cell: joined directly when all are code-like, else with a blank."""
-    simple = F.forall(tokens, lambda t: t.rlike("^[A-Za-z0-9./:-]+$"))
-    return F.when(simple, F.array_join(tokens, "")).otherwise(F.array_join(tokens, " "))
+
+    def join(parts: Column) -> Column:
+        simple = F.forall(parts, lambda t: t.rlike("^[A-Za-z0-9./:-]+$"))
+        return F.when(F.size(parts) == 1, parts[0]).when(simple, F.array_join(parts, "")).otherwise(
+            F.array_join(parts, " "))
+
+    return let(tokens, join)
 
 
 def cells_to_records(cells: DataFrame, schema: list[SchemaColumn], lines: str | None = None) -> DataFrame:

@@ -225,9 +225,11 @@ def appendix_rows(records: DataFrame, task: str, row_number: str, fields: str =
         found = [F.nullif(strip(F.try_element_at(F.col(fields), F.lit(k))), F.lit("")) for k in keys]
         return F.coalesce(*found)
 
-    rows = records.select(
-        task, row_number, pick(SERIAL_KEYS).alias("serial"), pick(MAKER_KEYS).alias("maker"),
-        dates.iso_date(pick(NEXT_KEYS)).alias("next_date"))
+    rows = records.select(task, row_number, F.struct(
+        pick(SERIAL_KEYS).alias("serial"), pick(MAKER_KEYS).alias("maker"),
+        dates.iso_date(pick(NEXT_KEYS)).alias("next_date")).alias("r"))
+    # the three values are worked out once, ahead of the filter and both passes of the numbering
+    rows = rows.select(task, row_number, F.explode(F.array("r")).alias("r")).select(task, row_number, "r.*")
     filled = rows.where(F.coalesce("serial", "maker", "next_date").isNotNull())
     line = F.concat_ws("\t", *[text(c) for c in ("serial", "maker", "next_date")])
     return row_numbers(filled, [task], row_number, "line_no").withColumn("line", line)

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, ahead of expensive row-wise expressions.
+
+    A table that already has a partition per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load() -> None:
     """Import every plan module so that its queries are registered."""
     for module in sorted(m.name for m in pkgutil.iter_modules(__path__)):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certloom.functions.cells import FieldRule
 from certloom.operators.align import align_line_to_schema
 from certloom.operators.cells import SchemaColumn
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 
 MEDIA = [(n, [n]) for n in ("Ar", "O2", "N2", "CO2")]
 SCHEMA = [
@@ -34,7 +34,7 @@ def align(spark: SparkSession, sf: str) -> DataFrame:
         " ", F.date_format("l_shipdate", "M.d"), F.when(owned, (300 + F.col("l_suppkey")).cast("string")),
         medium, F.lit("GZ"), F.concat(F.lit("A2004"), F.col("l_partkey").cast("string")),
         F.lit("22.5 15.0"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".5")))
-    made = table(spark, sf, "lineitem").select(
+    made = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", align_line_to_schema(line, SCHEMA).alias("a"))
     keys = ["check_date", "owner_code", "medium", "maker_code", "serial_no", "hydro_pressure", "nominal_weight"]
     return made.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col("a")[k].alias(k) for k in keys])

@@ -10,7 +10,7 @@ from certloom.functions.cells import FieldRule
 from certloom.operators import cells
 from certloom.operators.cells import SchemaColumn
 from certloom.operators.ordered import carry_last
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 
 ORD = "l_partkey * 100000 + l_suppkey * 10 + l_quantity"
 
@@ -18,7 +18,7 @@ ORD = "l_partkey * 100000 + l_suppkey * 10 + l_quantity"
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Several readings per cell of column 4 (maker code): table = order, row = line."""
     raw = F.concat(F.lit(" "), F.lower("l_returnflag"), F.lit("-"), (F.col("l_suppkey") % 3).cast("string"))
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.lit(4).alias("col"),
         F.when(F.col("l_suppkey") % 11 == 0, "").otherwise(raw).alias("raw_text"),
         F.round(F.col("l_discount") * 10, 2).alias("confidence"),
@@ -79,7 +79,7 @@ def column_rule(spark: SparkSession, sf: str) -> DataFrame:
     serial = F.concat(F.lit("i-O"), F.col("l_partkey").cast("string"), F.lit("l"))
     pressure = F.when(q < 10, F.concat(q.cast("string"), F.lit("o:S"))).when(
         q % 2 == 0, F.concat(q.cast("string"), F.lit(";s"))).otherwise(q.cast("string"))
-    ruled = table(spark, sf, "lineitem").select(
+    ruled = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", q.alias("q"), cf.column_rule(date_raw, 0).alias("d"),
         cf.column_rule(medium, 2).alias("m"), cf.column_rule(serial, 4).alias("s"), cf.column_rule(pressure, 5).alias("p"))
     return ruled.select(
@@ -302,7 +302,7 @@ SELECT doc_id, CAST(3 * length(regexp_replace(t, '[^一-鿿]', '', 'g')) + 2 * l
   + CASE WHEN contains(t, ' kV') OR contains(t, 'kVA') OR contains(lower(t), ' hz') THEN 30 ELSE 0 END
   - CASE WHEN regexp_matches(t, '[A-Za-z]{5,}') AND lines <= 2 THEN 20 ELSE 0 END AS INT) AS score FROM k""")
 def reading_score(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", cells.reading_score("text").alias("score"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cells.reading_score("text").alias("score"))
 
 
 @query("quality_score", """

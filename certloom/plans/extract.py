@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certloom.functions import text as tx
 from certloom.operators import extract as ex
 from certloom.operators import fields
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 
 
 def _s(c: Column | str) -> Column:
@@ -27,7 +27,7 @@ def record_texts(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("生产厂商: Manufacturer: "), maker)),
         F.concat(F.lit("收样日期: 2024-"), _s(key % 12 + 1), F.lit("-"), _s(size % 28 + 1)),
         F.concat(F.lit("校准地点: Room "), _s(size), F.lit("\n温度：2"), _s(key % 9), F.lit(".5℃ 湿度：4"), _s(key % 9), F.lit("%RH")))
-    return table(spark, sf, "part").select(key.alias("doc_id"), source.alias("text"))
+    return spread(table(spark, sf, "part")).select(key.alias("doc_id"), source.alias("text"))
 
 
 _EXPECT = """
@@ -129,7 +129,7 @@ def devices(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 3 == 0, F.concat(
             F.lit("气瓶名称："), "p_name", F.lit(" B\n气瓶编号: NX-"), _s(key + 1), F.lit("\n气瓶名称: 数字温度表\n气瓶编号: NX-"), _s(key), F.lit("\n"))).otherwise(""),
         F.lit("设备名称: 环境\n"), F.when(key % 2 == 0, "测量范围 0~10").otherwise(""))
-    made = table(spark, sf, "part").select(key.alias("doc_id"), source.alias("text"))
+    made = spread(table(spark, sf, "part")).select(key.alias("doc_id"), source.alias("text"))
     return made.withColumn("groups", ex.device_groups(ex.mark_lines(tx.split_lines("text"))))
 
 
@@ -178,7 +178,7 @@ def lab_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("一、一般检查：\n(1)夹具能夹紧试样。\n二、温度 扩展不确定度U="), _s(size), F.lit(".5 ℃, k=2\n实测值：2"), _s(key % 9),
         F.lit(" ℃\n三、夹角测量\n实 测 值 (°)： "), _s(key % 90), F.lit("\n标称值(N)\t0.50\t1\t"), _s(size),
         F.lit("\n校准值(N)\t0.52\t1.1\t"), _s(key), F.lit("\n备注 电荷量 实测 "), _s(key % 5), F.lit(" 1.5\n放电量 Urel=0."), _s(key % 7 + 1), F.lit("% k=2"))
-    return table(spark, sf, "part").select(key.alias("doc_id"), source.alias("text"))
+    return spread(table(spark, sf, "part")).select(key.alias("doc_id"), source.alias("text"))
 
 
 @query("uncertainty_items", """
@@ -267,16 +267,16 @@ b AS (SELECT s.doc_id, s.s, min(n) AS e FROM s LEFT JOIN lines l ON l.doc_id = s
 SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.n) AS block FROM lines l JOIN b ON b.doc_id = l.doc_id AND l.n >= b.s AND (b.e IS NULL OR l.n < b.e)
 GROUP BY l.doc_id""")
 def text_block(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", tx.squeezed_lines("text").alias("lines"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", tx.squeezed_lines("text").alias("lines"))
     block = ex.text_block(F.col("lines"), ["the ", "que "], ["ing ", "oi"])
-    return docs.select("doc_id", block.alias("block")).where("block IS NOT NULL")
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(block))).alias("block"))
 
 
 @query("document_profile", f"""WITH {_LINES}
 SELECT d.doc_id, CAST(length(d.text) AS INT) AS text_length, false AS has_general_check_keyword, CAST(0 AS INT) AS general_check_length,
   CAST(0 AS INT) AS uncertainty_items_count, CAST(0 AS INT) AS measured_items_count FROM documents d""")
 def document_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return spread(table(spark, sf, "documents")).select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
 @query("data_lines", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from certloom.functions import cells, dates, numbers
 from certloom.functions import text as tx
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 
 
 def _s(c: Column | str) -> Column:
@@ -18,7 +18,7 @@ def _s(c: Column | str) -> Column:
 WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g'), E' \\n\\t\\r') AS t FROM documents)
 SELECT doc_id, md5(t) AS digest, CAST(len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS INT) AS lines FROM n""")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.md5(tx.normalize_text("text")).alias("digest"), F.size(tx.split_lines("text")).alias("lines"))
 
 

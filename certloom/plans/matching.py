@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certloom.functions import text as tx
 from certloom.operators import extract as ex
 from certloom.operators import matching as mt
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 from certloom.plans.extract import lab_texts
 
 
@@ -177,7 +177,7 @@ c AS (SELECT doc_id, token, count(*) AS n, CASE WHEN regexp_matches(token, '(?i)
 SELECT doc_id, CAST(row_number() OVER w AS INT) AS rank, token, n AS count, boost FROM c
 WINDOW w AS (PARTITION BY doc_id ORDER BY boost DESC, n DESC, length(token) DESC, token) QUALIFY row_number() OVER w <= 20""")
 def keyword_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.keyword_candidates(table(spark, sf, "documents"), "doc_id", "text")
+    return mt.keyword_candidates(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 @query("pick_best_table", """
