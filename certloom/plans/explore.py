@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.operators import explore
-from certloom.operators.ordered import row_numbers
 from certloom.plans import query, table
 
 
@@ -75,19 +74,10 @@ def shared_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("sort_records", """
-SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY lower(c_mktsegment) DESC, c_custkey) AS place
-FROM customer""")
+SELECT c_custkey, c_mktsegment FROM customer ORDER BY lower(c_mktsegment) DESC, c_custkey""")
 def sort_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The order itself is distributed; the place of a row is counted per range of the order."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    ordered = explore.sort_records(rows, "c_mktsegment", "c_custkey", descending=True)
-    folded = F.lower("c_mktsegment")
-    sizes = rows.groupBy(folded.alias("seg")).agg(F.count("*").alias("n"))
-    bigger = sizes.alias("a").join(sizes.alias("b"), F.col("b.seg") > F.col("a.seg"), "left")
-    before = bigger.groupBy(F.col("a.seg").alias("seg")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    numbered = row_numbers(ordered.withColumn("seg", folded), ["seg"], "c_custkey", "inside")
-    return numbered.join(before, "seg").select(
-        "c_custkey", "c_mktsegment", (F.col("before") + F.col("inside")).alias("place"))
+    return explore.sort_records(rows, "c_mktsegment", "c_custkey", descending=True)
 
 
 @query("cap_rows", """

@@ -367,3 +367,62 @@ def standard_items(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 2 == 0, block).otherwise(
             F.concat(F.lit("见 "), code, F.lit(" 与 "), code)).alias("t"))
     return made.select("doc_id", F.array_join(ex.standard_items(tx.split_lines("t")), ",").alias("items"))
+
+
+@query("key_value_rows", """
+SELECT p_partkey AS doc_id, unnest(['name', 'type']) AS key, unnest([p_name, p_type]) AS value FROM part WHERE p_partkey % 3 > 0""")
+def key_value_rows(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(F.lit("name: "), "p_name", F.lit("\n\ntype： "), "p_type", F.when(F.col("p_partkey") % 3 == 0, "\nno pair").otherwise(""))
+    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    return made.select("doc_id", F.inline(ex.key_value_rows("t")))
+
+
+@query("list_items", """
+SELECT p_partkey AS doc_id, unnest([p_name, p_type, 'GB/T ' || CAST(p_size AS VARCHAR) || '-2008']) AS item FROM part WHERE p_partkey % 3 > 0""")
+def list_items(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(
+        F.lit("1. "), "p_name", F.lit("\n(2) "), "p_type", F.lit("\nGB/T "), _s("p_size"), F.lit("-2008"),
+        F.when(F.col("p_partkey") % 3 == 0, "\nplain").otherwise(""))
+    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    return made.select("doc_id", F.explode(ex.list_items("t")).alias("item"))
+
+
+@query("measurement_rows", """
+SELECT p_partkey AS doc_id, p_name AS name, p_type AS model, p_brand AS code, '0~' || CAST(p_size AS VARCHAR) AS measurement_range FROM part""")
+def measurement_rows(spark: SparkSession, sf: str) -> DataFrame:
+    separator = F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(" | ")
+    source = F.concat(
+        F.lit("气瓶名称"), separator, F.lit("型号\n"), "p_name", separator, "p_type", separator, "p_brand", separator, F.lit("0~"), _s("p_size"))
+    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    return made.select("doc_id", F.inline(ex.measurement_rows("t"))).select("doc_id", "name", "model", "code", "measurement_range")
+
+
+@query("background_noise", """
+SELECT p_partkey AS doc_id, '0.' || CAST(p_size AS VARCHAR) || ',1.5,2.5' AS noise FROM part""")
+def background_noise(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(F.lit("160kV 背景噪声 1.5pC\n0 kV 背景噪声：9 pC 0."), _s("p_size"), F.lit(" pC\n"), "p_name", F.lit("\n220 kV 背景噪声 2.5 pC"))
+    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    return made.select("doc_id", F.array_join(ex.background_noise(tx.squeezed_lines("t")), ",").alias("noise"))
+
+
+@query("hammer_rows", """
+SELECT p_partkey AS doc_id, '2 3 4 5 6 7 8 9 10 ' || CAST(p_size AS VARCHAR) || '|' || CASE WHEN p_partkey % 2 = 0 THEN '7 8' ELSE '' END AS hammer FROM part""")
+def hammer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(F.lit("实际值(g) 1 2 3 4 5 6 7 8 9 10 "), _s("p_size"), F.lit("\n实际值(g) 1 2\n"), "p_name")
+    made = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("doc_id"), source.alias("t"), F.when(F.col("p_partkey") % 2 == 0, "7, 8").alias("stated"))
+    rows = ex.hammer_rows(tx.squeezed_lines("t"), [F.lit(""), F.col("stated")])
+    return made.select("doc_id", F.array_join(F.transform(rows, lambda r: F.array_join(r, " ")), "|").alias("hammer"))
+
+
+@query("split_and_extract", """
+SELECT p_partkey AS doc_id, n AS record_no, CASE n WHEN 1 THEN p_name ELSE p_name || ' B' END AS device_name,
+  CASE n WHEN 1 THEN p_type || '-7' ELSE 'KX-' || CAST(p_size AS VARCHAR) END AS device_model, 'A-' || CAST(p_partkey AS VARCHAR) AS certificate_no
+FROM part, (VALUES (1), (2)) v(n)""")
+def split_and_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with two records; the certificate number stands once, above both."""
+    source = F.concat(
+        F.lit("缆专检号：A-"), _s("p_partkey"), F.lit("\n设备名称: "), "p_name", F.lit("\n型号规格: "), "p_type", F.lit("-7\n设备名称: "), "p_name",
+        F.lit(" B\n型号规格: KX-"), _s("p_size"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("text"))
+    return fields.split_and_extract(made).select("doc_id", "record_no", "device_name", "device_model", "certificate_no")

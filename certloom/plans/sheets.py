@@ -276,3 +276,16 @@ def required_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         "p_partkey", F.array_join(enrich.missing_required(template, values, required), ",").alias("missing"),
         enrich.template_rule(template).alias("rule"), items.alias("items"))
+
+
+@query("context_aliases", """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS device_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'task' END AS location FROM part""")
+def context_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical value first, then aliases; a row value before the task's."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.when(key % 2 == 0, F.col("p_name")).otherwise(" ").alias("device_name"), F.lit("").alias("设备名称"),
+        F.col("p_type").alias("name"), F.when(key % 3 == 0, F.col("p_brand")).otherwise("").alias("place"))
+    location = sheets.aliased_value(
+        F.create_map(F.lit("地点"), F.col("place")), F.create_map(F.lit("校准地点"), F.lit("task")), "校准地点", {"location": ["校准地点"], "校准地点": ["地点"]})
+    return sheets.resolve_aliases(rows).select("p_partkey", "device_name", location.alias("location"))

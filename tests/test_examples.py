@@ -315,3 +315,11 @@ def test_formula_and_rule_registries(spark):
         assert spark.range(1).select(cf.apply_field_rule(F.lit("a"), FieldRule("upper")).alias("x")).first().x == "A"
     finally:
         del cf.FIELD_RULE_TYPES["upper"]
+
+
+def test_sort_is_stable_in_both_directions(spark):
+    frame = spark.createDataFrame([(1, "b"), (2, "A"), (3, "B"), (4, "a")], "pos int, v string")
+    from certloom.operators import explore
+
+    assert [r.pos for r in explore.sort_records(frame, "v", "pos").collect()] == [2, 4, 1, 3]
+    assert [r.pos for r in explore.sort_records(frame, "v", "pos", descending=True).collect()] == [1, 3, 2, 4]
