@@ -206,7 +206,8 @@ def labelled_date(source: Column, lines: Column, label: str) -> Column:
             if needs_unit:
                 ok = ok & hit.rlike("(?i)年|月|日|year|month|day")
             found.append(F.when(ok, value))
-    return F.coalesce(*found)
+    # the windows are searched only where the label occurs at all
+    return F.when(source.rlike("(?i)" + spaced), F.coalesce(*found))
 
 
 def standard_items(lines: Column, strict: bool = True) -> Column:
@@ -297,7 +298,8 @@ def urel_percent(source: Column, lines: Column, keywords: list[str]) -> Column:
     around = F.regexp_extract_all(source, F.lit(rf"(?=([\s\S]{{0,40}}{pattern[4:]}[\s\S]{{0,40}}))".replace(
         "Urel", "[Uu][Rr][Ee][Ll]")), F.lit(1))
     near = _first(F.filter(around, lambda w: tx.any_of(w, keywords)))
-    return F.coalesce(on_line, F.nullif(F.regexp_extract(near, pattern, 1), F.lit("")))
+    return F.when(
+        source.rlike(r"(?i)Urel\s*="), F.coalesce(on_line, F.nullif(F.regexp_extract(near, pattern, 1), F.lit(""))))
 
 
 # --- devices ----------------------------------------------------------------
