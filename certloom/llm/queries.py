@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe
+from certloom.llm import bpe, collisions, lines, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,67 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         F.col("doc_id").cast("long").alias("doc_id"), bpe.token_count().alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_LINES_SQL = """
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+spot AS (SELECT doc_id, i, ls[i] AS a, ls[i + 1] AS b, ls[i + 2] AS c
+       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM cut)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth
+           FROM spot WHERE regexp_matches(a || b || c, '[^ \t\r]')),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS covered
+         FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM ranked WHERE nth > 1) GROUP BY doc_id)
+SELECT cut.doc_id, array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(covered, []), i)), chr(10)) AS text,
+       CAST(len(coalesce(covered, [])) AS INTEGER) AS n_removed
+FROM cut LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op4_line_dedup", _LINES_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of repeated three-line windows but the first."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_MIX_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+facts AS (SELECT sum(n) AS total, count(*) AS sources FROM counts),
+rates AS (SELECT source, CAST(total AS DOUBLE) * (CAST(1 AS DOUBLE) / sources) / n AS rate FROM counts, facts),
+cdf AS (SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS p FROM rates
+        UNION ALL
+        SELECT source, rate, k + 1, log_p + ln(rate / (k + 1)), p + exp(log_p + ln(rate / (k + 1)))
+        FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+drawn AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('mix|' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+          FROM documents),
+counted AS (SELECT d.doc_id, d.source, d.text, count(*) AS n FROM drawn d JOIN cdf c
+            ON d.source IS NOT DISTINCT FROM c.source AND c.p <= d.u GROUP BY ALL)
+SELECT doc_id, source, text, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM counted
+"""
+
+
+@query("op6_mix_sources", _MIX_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, replicated so that each source has the same share, in random order."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+_TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+           FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_exact_top_k", _TOP_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the highest integer inner product, for every fiftieth vector against all."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op10_collision_counting")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest rows found, for every twentieth vector against all."""
+    return collisions.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
