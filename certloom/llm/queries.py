@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe, collisions, lines, mixing, topk
+from certloom.llm import bpe, chat, collisions, lines, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest rows found, for every twentieth vector against all."""
     return collisions.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+_CHAT_SQL = """
+WITH told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+              UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (SELECT *, length(role) + length(text) + 24
+                 + len(regexp_extract_all(role || chr(10) || text, '<\\\\*\\|')) AS chars FROM told)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op7_chat_format", _CHAT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes the template, formatted and read back."""
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"))
+    back = chat.read_back(chat.format_chats(told, TOKENIZER), TOKENIZER)
+    turns = F.zip_with("roles", "texts", lambda role, text: F.concat(role, F.lit("\n"), text, F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
