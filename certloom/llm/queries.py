@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe, chat, collisions, lines, mixing, topk
+from certloom.llm import bpe, chat, collisions, lines, mixing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, "").cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of labelled documents outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.tag(docs, model)
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"), toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
