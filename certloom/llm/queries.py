@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe, chat, collisions, lines, mixing, topk, toxicity
+from certloom.llm import bpe, chat, collisions, jaccard, lines, mixing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         F.col("doc_id").cast("long").alias("doc_id"), toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class, over whole texts."""
+    return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
