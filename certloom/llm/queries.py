@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe, chat, collisions, jaccard, lines, mixing, topk, toxicity
+from certloom.llm import bpe, chat, collisions, jaccard, lines, mixing, quality, surrogates, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +150,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class, over whole texts."""
     return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a scorer that was trained without labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "label_posterior", F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.2).cast("int").alias("keep"))
+
+
+@query("op5_surrogates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    done = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="certloom")
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.size("entities").alias("n_entities"))
