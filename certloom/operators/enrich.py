@@ -93,9 +93,9 @@ def catalog_semi_filter(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows whose name is in the catalogue; everything while the catalogue is empty."""
     tokens = catalog.select(F.nullif(token(placeholder_to_null("name")), F.lit("")).alias("__token")).where(
         F.col("__token").isNotNull()).distinct()
-    if tokens.isEmpty():
-        return records
-    return records.withColumn("__token", token("name")).join(tokens, "__token", "left_semi").select(*records.columns)
+    known = records.withColumn("__own", token("name")).join(
+        tokens.withColumn("__listed", F.lit(True)), F.col("__own") == F.col("__token"), "left")
+    return known.where(F.col("__listed") | ~tokens.exists()).select(*records.columns)
 
 
 def is_catalog_header(row: dict[str, Column]) -> Column:

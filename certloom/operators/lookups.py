@@ -47,14 +47,15 @@ def contains_join(
     """(row_id, needle columns) for every needle that occurs in the row's text.
 
     An equi-join on the needle's first characters (up to six) against the
-    text's grams of the same length, then an exact test. Nothing is
+    text's grams of the same length, then an exact test. The grams travel
+    without the text, which meets only the candidates of its row. Nothing is
     broadcast by hand and no pair is formed that does not share the gram.
     """
     size = F.least(F.length(F.col(needle)), F.lit(GRAM))
     right = needles.where(F.length(F.col(needle)) > 0).select(
         F.concat(size.cast("string"), F.lit(":"), F.substring(F.col(needle), 1, GRAM)).alias("__gram"),
         F.col(needle).alias("__needle"), *[F.col(c) for c in carry])
-    texts = df.select(F.col(row_id), haystack.alias("__text"))
+    texts = df.select(F.col(row_id).alias("__row"), haystack.alias("__text"))
 
     def grams(n: int) -> Column:
         last = F.length(F.col("__text")) - n + 1
@@ -63,6 +64,6 @@ def contains_join(
             starts, lambda i: F.concat(F.lit(f"{n}:"), F.substr(F.col("__text"), i, F.lit(n)))))
 
     every = F.concat(*[grams(n) for n in range(1, GRAM + 1)])
-    exploded = texts.select(row_id, "__text", F.explode(every).alias("__gram"))
-    return exploded.join(right, "__gram").where(F.contains(F.col("__text"), F.col("__needle"))).select(
-        row_id, F.col("__needle").alias(needle), *carry)
+    shared = texts.select("__row", F.explode(every).alias("__gram")).join(right, "__gram").drop("__gram")
+    return shared.join(texts, "__row").where(F.contains(F.col("__text"), F.col("__needle"))).select(
+        F.col("__row").alias(row_id), F.col("__needle").alias(needle), *carry)

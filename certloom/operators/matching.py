@@ -15,6 +15,7 @@ from certloom.functions.text import compact, let, match_text, squeeze, text
 from certloom.operators.extract import _first
 from certloom.operators.lookups import contains_join, lookup_join
 from certloom.operators.ordered import first_per_key, top_per_key
+from certloom.session import cut_lineage
 from certloom.shipping import by_value
 
 by_value(__name__)
@@ -205,24 +206,25 @@ def match_template(
 
     records: (record_id, explicit, source_code, device_name, device_code,
     file_name, raw_text). Sheet rows ask explicit name and code first; others
-    start with the learned entries. Then names, the default, the blank form.
+    start with the learned entries, of which only those count whose template
+    exists. Then names, the default, the blank form.
     """
-    blank = blank_template(templates).first()["blank"]  # one value out of an aggregate
+    blank = blank_template(templates).scalar()
     source = search_text(F.col("file_name"), F.col("raw_text"))
+    existing = templates.select("template_name").distinct()
+    feedback = feedback.withColumn("template_name", tx.strip("template_name")).join(existing, "template_name", "left_semi")
     step = match_by_feedback(
         records, feedback, record_id, F.col("device_name"), F.col("device_code"), source)
     step = match_by_name(
         step, templates, record_id, name_hints(F.col("device_name"), F.col("raw_text"), F.col("file_name")))
     names = templates.select(F.col("template_name").alias("key"), "template_name").distinct()
-    step = lookup_join(step, names, {"key": F.col("by_feedback")}, {"template_name": "__fb"}, F.col(record_id))
-    choices = [("feedback:default", F.col("__fb")), ("name:strict", F.col("by_name"))]
+    choices = [("feedback:default", F.col("by_feedback")), ("name:strict", F.col("by_name"))]
     if excel:
         step = match_by_code(step, templates, F.col("source_code"), F.col(record_id))
         choices = [("explicit", F.nullif(tx.strip("explicit"), F.lit(""))), ("code", F.col("by_code")), *choices]
     if default:
         choices.append(("task:export_default", F.lit(default)))
-    if blank:
-        choices.append(("fallback:blank", F.lit(blank)))
+    choices.append(("fallback:blank", blank))
     chosen = F.coalesce(*[c for _, c in choices])
     reason = F.coalesce(*[F.when(c.isNotNull(), r) for r, c in choices])
     out = step.select(*records.columns, chosen.alias("template_name"), reason.alias("matched_by"))
@@ -479,16 +481,20 @@ def fill_distance(requirement: Column, sources: Column) -> Column:
 # --- keywords, tables, feedback ---------------------------------------------
 
 
-def keyword_candidates(documents: DataFrame, doc_id: str, source: str, limit: int = 20) -> DataFrame:
+def keyword_candidates(
+    documents: DataFrame, doc_id: str, source: str, limit: int = 20, longest_line: int | None = None,
+) -> DataFrame:
     """The strongest tokens per document: domain words, then frequent, long, in order.
 
+    longest_line: characters from which on a line is left out as running prose; None: all lines count.
+
     Counts are combined before the shuffle; the top-n keeps n rows per
     document in every task.
     """
     noise = "(?i)" + "|".join(f"(?:{p})" for p in vocab.KEYWORD_NOISE_LINES)
     lines = F.filter(
         F.transform(F.split(F.replace(text(source), F.lit("\r"), F.lit("")), "\n"), tx.strip),
-        lambda x: (x != "") & (F.length(x) <= 120) & ~x.rlike(noise))
+        lambda x: (x != "") & ~x.rlike(noise) & (F.lit(True) if longest_line is None else F.length(x) <= longest_line))
     found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(
         x, F.lit(r"([一-鿿A-Za-z0-9%℃Ωμ~./-]{2,30})"), F.lit(1))))
     t = F.col("token")
@@ -551,31 +557,67 @@ def template_aliases(template: Column, name: Column, limit: int = 12) -> Column:
         F.transform(F.slice(b, F.lit(1), i), match_text), match_text(a))), 1, limit))
 
 
-def learn_feedback(existing: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Learned entries after a batch of corrections; the newest template of an identity wins.
+def _telling(key: Column) -> Column:
+    """Whether a normalised alias is long enough and no word that every record has."""
+    return (F.length(key) >= 2) & ~tx.one_of(key, vocab.GENERIC_KEYWORDS)
 
-    Identity is the code, else the name (without a code), else the first
-    alias. existing and corrections: (id, updated_at, template_name,
-    device_name, device_code, source_aliases). The id of the oldest entry of
-    an identity is kept. Aliases are ranked per identity by first use and cut
-    to 20 by a top-n that every task applies before the shuffle.
+
+def _entry_of(rows: DataFrame) -> DataFrame:
+    """(at, root): which earlier row's entry a row updates, itself if none's.
+
+    A correction goes to the first row with its code; without a code to the
+    first with its name; else to the first that shares an alias. Each case is
+    an equi-join with one row per key. Chains end at their first row: pointers
+    are doubled, so the rounds grow with the logarithm of a chain's length.
     """
-    both = existing.select(F.lit(0).alias("src"), "*").unionByName(corrections.select(F.lit(1).alias("src"), "*"))
     code, name = F.nullif(tx.code_norm("device_code"), F.lit("")), F.nullif(match_text("device_name"), F.lit(""))
-    first_alias = match_text(F.get(F.col("source_aliases"), F.lit(0)))
-    identity = F.coalesce(F.concat(F.lit("c:"), code), F.concat(F.lit("n:"), name), F.concat(F.lit("a:"), first_alias))
-    keyed = both.withColumns({"identity": identity, "at": F.struct("src", "updated_at", "id")}).where("identity IS NOT NULL")
+    keyed = rows.select("at", code.alias("code"), name.alias("name"), "source_aliases")
+
+    def first(key: str) -> DataFrame:
+        return keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("at").alias("first"))
+
+    alias = keyed.select("at", F.explode("source_aliases").alias("alias")).select("at", match_text("alias").alias("alias")).where(_telling(F.col("alias")))
+    first_alias = alias.groupBy("alias").agg(F.min("at").alias("first"))
+    shared = alias.join(first_alias, "alias").groupBy("at").agg(F.min("first").alias("by_alias"))
+    step = lookup_join(keyed, first("code"), {"code": F.col("code")}, {"first": "by_code"}, F.col("at"))
+    step = lookup_join(step, first("name"), {"name": F.when(F.col("code").isNull(), F.col("name"))}, {"first": "by_name"}, F.col("at"))
+    step = step.join(shared, "at", "left")
+    earlier = [F.when(F.col(c) < F.col("at"), F.col(c)) for c in ("by_code", "by_name", "by_alias")]
+    learned = F.col("at.src") == 0  # an entry that is learned already stays one
+    now = cut_lineage(step.select("at", F.when(learned, F.col("at")).otherwise(F.coalesce(*earlier, "at")).alias("root")))
+    while True:
+        up = now.select(F.col("at").alias("root"), F.col("root").alias("above")).where("root <> above")
+        after = cut_lineage(now.join(up, "root", "left").select("at", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        if after.where("moved").isEmpty():
+            return after.select("at", "root")
+        now = after.select("at", "root")
+
+
+def learn_feedback(existing: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Learned entries after a batch of corrections; the newest template of an entry wins.
+
+    existing and corrections: (id, updated_at, template_name, device_name,
+    device_code, source_aliases). A correction updates the entry with its
+    code, without a code the one with its name, else one that shares an alias,
+    be it learned already or by an earlier correction of the batch. The entry
+    keeps the id of its first row. Corrections without a template or an alias
+    teach nothing. Aliases are ranked per entry by first use and cut to 20 by
+    a top-n that every task applies before the shuffle.
+    """
+    both = existing.select(F.lit(0).alias("src"), "*").unionByName(corrections.select(F.lit(1).alias("src"), "*"))
+    rows = both.withColumn("at", F.struct("src", "updated_at", "id")).where(
+        (F.col("src") == 0) | ((tx.strip("template_name") != "") & F.exists("source_aliases", lambda a: match_text(a) != "")))
+    keyed = rows.join(_entry_of(rows), "at").withColumnRenamed("root", "identity")
     last = keyed.groupBy("identity").agg(
         F.max_by(F.struct("updated_at", "template_name", "device_name", "device_code"), "at").alias("n"),
         F.min_by("id", "at").alias("id"))
     aliases = keyed.select("identity", "at", F.posexplode("source_aliases").alias("pos", "alias")).select(
         "identity", F.struct("at", "pos").alias("used"), tx.strip("alias").alias("alias"), match_text("alias").alias("key"))
-    good = aliases.where((F.length("key") >= 2) & ~tx.one_of(F.col("key"), vocab.GENERIC_KEYWORDS))
-    distinct = first_per_key(good, ["identity", "key"], F.col("used"), ["used", "alias"])
+    distinct = first_per_key(aliases.where(_telling(F.col("key"))), ["identity", "key"], F.col("used"), ["used", "alias"])
     top = top_per_key(distinct, ["identity"], [F.col("used"), F.col("key")], 20, "rank")
     listed = top.groupBy("identity").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "alias"))), lambda x: x["alias"]).alias("source_aliases"))
-    return last.join(listed, "identity").select(
+    return last.join(listed, "identity", "left").select(
         "id", "n.updated_at", "n.template_name", "n.device_name", "n.device_code",
         match_text("n.device_name").alias("device_name_norm"), tx.code_norm("n.device_code").alias("device_code_norm"),
-        "source_aliases")
+        F.coalesce("source_aliases", F.array().cast("array<string>")).alias("source_aliases"))

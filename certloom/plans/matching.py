@@ -73,7 +73,7 @@ def match_by_name(spark: SparkSession, sf: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey % 5 = 0").select(
+    return table(spark, sf, "part").select(
         F.lpad(_s(key), 8, "0").alias("id"), F.lpad(_s(key), 8, "0").alias("updated_at"),
         F.concat(F.lit("T"), _s(key)).alias("template_name"),
         F.when(key % 3 == 0, "").otherwise(F.col("p_name")).alias("device_name"),
@@ -91,7 +91,7 @@ def identities(spark: SparkSession, sf: str) -> DataFrame:
 
 _FEEDBACK = """
 f AS (SELECT p_partkey AS fk, 'T' || CAST(p_partkey AS VARCHAR) AS t, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_name, ' ', '') END AS n,
-  CASE WHEN p_partkey % 2 = 0 THEN upper(replace(p_brand, '#', '')) END AS c, lower(replace(p_name, ' ', '') || p_type) AS a FROM part WHERE p_partkey % 5 = 0),
+  CASE WHEN p_partkey % 2 = 0 THEN upper(replace(p_brand, '#', '')) END AS c, lower(replace(p_name, ' ', '') || p_type) AS a FROM part),
 r AS (SELECT p_partkey AS record_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_name, ' ', '') END AS n,
   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE upper(replace(p_brand, '#', '')) END AS c, '记录' || lower(replace(p_name, ' ', '') || p_type) || '续页' AS src FROM part),
 s AS (SELECT r.record_id, f.t, f.fk, CASE WHEN r.c = f.c THEN 100 ELSE 0 END + CASE WHEN r.n = f.n THEN 40 ELSE 0 END
@@ -112,27 +112,38 @@ def match_by_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("match_template", """
-SELECT p_partkey AS record_id, CASE WHEN p_partkey % 7 = 0 THEN 'unknown.docx' WHEN p_name LIKE 'b%' THEN 'R-802B 空白.docx' ELSE p_name || '试验装置.docx' END AS template_name,
-  CASE WHEN p_partkey % 7 = 0 THEN 'explicit' WHEN p_name LIKE 'b%' THEN 'fallback:blank' ELSE 'name:strict' END AS matched_by,
-  CASE WHEN p_partkey % 7 = 0 THEN '模板不存在：unknown.docx' END AS error FROM part""")
+WITH m AS (SELECT p_partkey AS record_id, p_name, CASE WHEN p_partkey % 7 = 0 THEN 'explicit' WHEN p_partkey % 11 = 0 THEN 'code'
+  WHEN p_partkey % 4 = 1 THEN 'feedback:default' WHEN p_name LIKE 'b%' THEN 'fallback:blank' ELSE 'name:strict' END AS matched_by FROM part)
+SELECT record_id, CASE matched_by WHEN 'explicit' THEN 'unknown.docx' WHEN 'code' THEN 'R-802B 空白.docx' WHEN 'fallback:blank' THEN 'R-802B 空白.docx'
+    ELSE p_name || '试验装置.docx' END AS template_name, matched_by,
+  CASE WHEN matched_by = 'explicit' THEN '模板不存在：unknown.docx' END AS error FROM m""")
 def match_template(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stage hits; each part has a learned entry, and a newer one whose template is gone."""
     key = F.col("p_partkey")
+    own_code = F.concat(F.lit("K-"), _s(key))
     records = table(spark, sf, "part").select(
         key.alias("record_id"), F.when(key % 7 == 0, " unknown.docx").otherwise("").alias("explicit"),
-        F.lit("R-999z").alias("source_code"), F.col("p_name").alias("device_name"), F.lit("").alias("device_code"),
+        F.when(key % 11 == 0, "R-802B").otherwise("R-999z").alias("source_code"), F.col("p_name").alias("device_name"),
+        F.when(key % 4 == 1, F.lower(own_code)).otherwise("").alias("device_code"),
         F.col("p_name").alias("file_name"), F.concat(F.lit("name: "), "p_name").alias("raw_text"))
-    learned = feedback(spark, sf).where("template_name = ''")
+    number = F.lpad(_s(key), 8, "0")
+    gone = F.explode(F.array(F.lit(False), F.lit(True))).alias("gone")
+    learned = table(spark, sf, "part").select("*", gone).select(
+        F.concat(number, _s("gone")).alias("id"), F.concat(_s(F.col("gone").cast("int")), number).alias("updated_at"),
+        F.when(F.col("gone"), "gone.docx").otherwise(F.concat("p_name", F.lit("试验装置.docx"))).alias("template_name"),
+        F.lit("").alias("device_name"), own_code.alias("device_code"), F.array(own_code).alias("source_aliases"))
     return mt.match_template(records, named_templates(spark, sf), learned, excel=True).select(
         "record_id", "template_name", "matched_by", "error")
 
 
-@query("match_requirements")
+@query("match_requirements", """
+SELECT p_partkey, CAST(unnest([0, 1]) AS INT) AS target_no, CAST(unnest([1, 2]) AS INT) AS source_no FROM part""")
 def match_requirements(spark: SparkSession, sf: str) -> DataFrame:
-    """Two requirements against three source lines per part; similarity is no SQL function."""
+    """Two requirements against three source lines per part, two of which say the same in other words."""
     made = table(spark, sf, "part").select(
         "p_partkey", F.array(F.lit("(1)夹具应能夹紧试样"), F.concat("p_name", F.lit("的最大距离为 mm"))).alias("targets"),
         F.array(F.concat("p_type", F.lit("外观完好")), F.lit("(2)夹具能夹紧试样。"), F.concat("p_name", F.lit("最大距离：500mm"))).alias("sources"))
-    return made.select("p_partkey", F.inline(mt.match_requirements(F.col("targets"), F.col("sources"))))
+    return made.select("p_partkey", F.inline(mt.match_requirements(F.col("targets"), F.col("sources")))).drop("score")
 
 
 @query("lookup_value_maps", """
@@ -171,7 +182,7 @@ def rule_checks(spark: SparkSession, sf: str) -> DataFrame:
 @query("keyword_candidates", """
 WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10))), E' \\t\\n') AS x FROM documents),
 t AS (SELECT doc_id, unnest(regexp_extract_all(x, '[一-鿿A-Za-z0-9%℃Ωμ~./-]{2,30}')) AS token FROM l
-  WHERE x <> '' AND length(x) <= 120 AND NOT regexp_matches(lower(x), '^page\\s+\\d+\\s+of\\s+\\d+$')),
+  WHERE x <> '' AND NOT regexp_matches(lower(x), '^page\\s+\\d+\\s+of\\s+\\d+$')),
 c AS (SELECT doc_id, token, count(*) AS n, CASE WHEN regexp_matches(token, '(?i)\\d{2,4}k?v|kV') THEN 1 ELSE 0 END AS boost
   FROM t WHERE NOT regexp_full_match(token, '[\\d.%-]+') GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER w AS INT) AS rank, token, n AS count, boost FROM c
@@ -202,20 +213,21 @@ def merge_aliases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("learn_feedback", """
-WITH e AS (SELECT user_id, event_id, event_type, 'D' || CAST(user_id AS VARCHAR) AS name FROM events),
-l AS (SELECT user_id, max_by(event_type, event_id) AS template_name, min(event_id) AS id FROM e GROUP BY user_id),
-a AS (SELECT user_id, event_type, min(event_id) AS first FROM e GROUP BY ALL)
-SELECT lpad(CAST(l.id AS VARCHAR), 10, '0') AS id, l.template_name, 'd' || CAST(l.user_id AS VARCHAR) AS device_name_norm,
-  'D' || CAST(l.user_id AS VARCHAR) || '|' || string_agg(a.event_type, '|' ORDER BY a.first) AS aliases
-FROM l JOIN a USING (user_id) GROUP BY l.id, l.template_name, l.user_id""")
+WITH l AS (SELECT user_id, max_by(event_type, event_id) AS template_name, min(event_id) AS id, max(event_id) AS last FROM events GROUP BY user_id),
+a AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL)
+SELECT lpad(CAST(l.id AS VARCHAR), 10, '0') AS id, l.template_name, CASE WHEN l.last % 5 <> 0 THEN 'd' || CAST(l.user_id AS VARCHAR) ELSE '' END AS device_name_norm,
+  'D' || CAST(l.user_id AS VARCHAR) || '|' || string_agg('D' || CAST(l.user_id AS VARCHAR) || ' ' || a.event_type, '|' ORDER BY a.first) AS aliases
+FROM l JOIN a USING (user_id) GROUP BY l.id, l.template_name, l.user_id, l.last""")
 def learn_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as corrections of one device per user; the older half is already learned."""
+    """Events as corrections of one device per user, by code, by name or by alias alone; the older half is learned first."""
     number = F.lpad(_s("event_id"), 10, "0")
-    name = F.concat(F.lit("D"), _s("user_id"))
+    device = F.concat(F.lit("D"), _s("user_id"))
     rows = table(spark, sf, "events").select(
-        number.alias("id"), number.alias("updated_at"), F.col("event_type").alias("template_name"), name.alias("device_name"),
-        F.lit("").alias("device_code"), F.array(name, F.col("event_type"), F.lit("系 统")).alias("source_aliases"), "event_id")
-    half = rows.agg(F.max("event_id").alias("top")).first()["top"] // 2
-    old, new = rows.where(F.col("event_id") <= half).drop("event_id"), rows.where(F.col("event_id") > half).drop("event_id")
-    return mt.learn_feedback(old, new).select(
+        number.alias("id"), number.alias("updated_at"), F.col("event_type").alias("template_name"),
+        F.when(F.col("event_id") % 5 != 0, device).otherwise("").alias("device_name"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("K"), _s("user_id"))).otherwise("").alias("device_code"),
+        F.array(device, F.concat(device, F.lit(" "), "event_type"), F.lit("系 统")).alias("source_aliases"))
+    half = F.lpad(_s(F.floor(table(spark, sf, "events").agg(F.max("event_id")).scalar() / 2)), 10, "0")
+    learned = mt.learn_feedback(rows.limit(0), rows.where(F.col("id") <= half)).select(*rows.columns)
+    return mt.learn_feedback(learned, rows.where(F.col("id") > half)).select(
         "id", "template_name", "device_name_norm", F.array_join("source_aliases", "|").alias("aliases"))

@@ -146,7 +146,7 @@ own_pair AS (
   FROM tok WHERE nk IS NOT NULL AND mk IS NOT NULL GROUP BY ALL),
 library AS (
   SELECT DISTINCT p_name AS device_name, p_type AS device_model, 'Maker@' || p_type AS manufacturer,
-    'C-' || CAST(p_size * 100 + num AS VARCHAR) AS device_code FROM parts WHERE p_partkey % 3 = 0),
+    'C-' || CAST(p_size * 100 + num AS VARCHAR) AS device_code FROM parts),
 lib_tok AS (
   SELECT *, lower(replace(device_code, '-', '')) AS ck, lower(replace(device_name, ' ', '')) AS nk,
     lower(device_model) AS mk FROM library),
@@ -169,7 +169,7 @@ filled AS (
 
 def library(spark: SparkSession, sf: str) -> DataFrame:
     """Known devices of a document library, ambiguous in places."""
-    part = table(spark, sf, "part").where("p_partkey % 3 = 0")
+    part = table(spark, sf, "part")
     number = F.substring_index("p_brand", "#", -1).cast("int")
     return part.select(
         F.col("p_name").alias("device_name"), F.col("p_type").alias("device_model"),

@@ -174,12 +174,13 @@ def catalog_from_rows(rows: DataFrame) -> DataFrame:
         F.col("__c.certificate_no").alias("certificate_no"), F.col("__c.valid_date").alias("valid_date"))
 
 
-def parse_catalog_json(c: Column | str, limit: int = vocab.CATALOG_ROW_LIMIT) -> Column:
-    """array<struct> of a JSON list of catalogue rows: nameless rows dropped, at most 2000."""
+def parse_catalog_json(c: Column | str, limit: int | None = None) -> Column:
+    """array<struct> of a JSON list of catalogue rows: nameless rows dropped, the first `limit` kept (None: all)."""
     item = "struct<" + ",".join(f"{k}:string" for k in vocab.CATALOG_KEYS) + ">"
     rows = F.from_json(strip(c), f"array<{item}>")
     cleaned = F.transform(rows, lambda r: F.struct(*[placeholder_to_null(r[k]).alias(k) for k in vocab.CATALOG_KEYS]))
-    return F.slice(F.filter(cleaned, lambda r: r["name"].isNotNull()), 1, limit)
+    named = F.filter(cleaned, lambda r: r["name"].isNotNull())
+    return named if limit is None else F.slice(named, 1, limit)
 
 
 # --- import schema ----------------------------------------------------------

@@ -142,7 +142,6 @@ CATALOG_HEADER_TOKENS = [
 ]
 CATALOG_STOP_NAMES = ["以上计量标准气瓶", "其它校准信息"]
 STACK_ANCHORS = ["name", "model", "code", "measurement_range", "certificate_no", "traceability_institution"]
-CATALOG_ROW_LIMIT = 2000
 INSTRUMENT_TABLE_HEADER = [
     "计量标准气瓶名称", "型号/规格", "编号", "测量范围", "准确度/不确定度", "证书编号/有效期", "溯源机构",
 ]
