@@ -39,7 +39,7 @@ SHORT = 96
 CHUNK = 1 << 16
 #: Words that are looked up together, and words whose ids a worker remembers.
 GROUP = 1 << 17
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def _byte_of_char() -> dict[str, int]:

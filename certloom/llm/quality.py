@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from certloom.llm.shared import least_hashed
 from certloom.shipping import by_value
 
 #: Buckets of the scorer, rows it is trained on (those of least hash), words that a worker remembers.
@@ -145,7 +146,7 @@ def _numbers(patterns: list[str]) -> np.ndarray:
     return np.array([["-0+".index(c) - 1 for c in p] for p in patterns])
 
 
-def train(docs: DataFrame, text: str = "text", rows: int = TRAINED) -> Model:
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAINED) -> Model:
     """Heuristics' accuracies from the votes on all documents, and a scorer from the posteriors of `rows` of them.
 
     The votes are counted by pattern (3 to the number of heuristics at most), so the driver gets a
@@ -172,7 +173,7 @@ def train(docs: DataFrame, text: str = "text", rows: int = TRAINED) -> Model:
                 pattern.append("".join("-0+"[v + 1] for v in votes(text, plain)))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), pa.array(pattern, pa.string())], names=["at", "value", "pattern"])
 
-    chosen = docs.select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(rows)
+    chosen = least_hashed(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("key")), rows, "key", "text").select("text")
     sample = chosen.mapInArrow(run, "at array<long>, value array<double>, pattern string").collect()
     x = np.zeros((len(sample), BUCKETS), dtype=np.float32)
     for i, r in enumerate(sample):

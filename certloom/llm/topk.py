@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certloom.llm.shared import written
+from certloom.llm.shared import least_hashed, written
 from certloom.llm.vectors import against_all, best_first, matrix, top, usable
 from certloom.shipping import by_value
 
@@ -82,7 +82,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     rows = written(rows.withColumn("norm2", norm2))
     radius2 = float(rows.agg(F.max("norm2")).first()[0] or 0.0)
-    sample = rows.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
+    sample = least_hashed(rows, SAMPLE, "id").select("v").toArrow().column("v").to_pylist()
     by_dim: dict[int, np.ndarray] = {}
     for dim in {len(v) for v in sample}:
         by_dim[dim] = choose_pivots(np.array([v for v in sample if len(v) == dim]), pivots)

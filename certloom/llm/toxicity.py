@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.shared import written
+from certloom.llm.shared import least_hashed, written
 from certloom.shipping import by_value
 
 #: At most so many labelled rows, those of least hash, are learned from; the field itself from so many per class.
@@ -257,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     chosen = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(
         F.col("doc_id").cast("long").alias("known_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = written(chosen.orderBy(F.xxhash64("known_id"), "known_id").limit(labelled))  # of bounded size: it may be sent along
+    chosen = written(least_hashed(chosen, labelled, "known_id"))  # of bounded size: it may be sent along
     rows = docs.select(F.col(doc_id).cast("long").alias("known_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "known_id")
     rows = written(rows)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     model.odds = _odds(rows, n_toxic, n_clean)
     listed, chains, kept = Listed(model.odds), [], []
     for toxic, n in ((1, n_toxic), (0, n_clean)):
-        part = rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("known_id"), "known_id").limit(FIELD_ROWS).select("text")
+        part = least_hashed(rows.where(F.col("toxic") == toxic), FIELD_ROWS, "known_id").select("text")
         got = _listed_rows(part, listed.odds, toxic)
         for row in got:
             chains += [(np.array(x).reshape(WINDOW, NUMBERS), np.array(y)) for x, y in zip(row["x"], row["y"], strict=True)]
