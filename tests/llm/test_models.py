@@ -43,7 +43,8 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_toxic_spans_and_edges(spark):
     clean = "the river runs to the sea and the road to the hill "
-    rows = [(i, clean * (1 + i % 3) + (f"w{i} you idiot w{i * 7} " if i % 4 == 0 else f"w{i} you friend ")) for i in range(400)]
+    own = lambda i: "".join(chr(97 + int(d)) for d in str(i * 7919))
+    rows = [(i, clean * (1 + i % 3) + f"{own(i)} {'idiot' if i % 4 == 0 else 'friend'} {own(i + 500)} ") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     truth = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, truth)
