@@ -1,18 +1,20 @@
 """Exact Jaccard join of documents over word shingles, by regions of a metric space.
 
-Distance is the number of shingles by which two sets differ. The first pivot is the empty
-set: rings around it are regions, and triangle-inequality windows above each
-boundary copy documents into the ring below. A ring is projected on disjoint
-blocks of shingles, more of them than a linked pair can differ in, so that a pair coincides in several
-blocks; the regions of a block are the sets that coincide there, around their common projection.
-In a region everything is first compared with one document, its pivot. What links
-with its pivot is one component and needs no comparing among itself. Regions that still hold
-several components go on: small ones pair by pair, large ones by the next block
-that they share, and at last pivot by pivot.
+Jaccard distance is a metric, but documents that share no shingle are all at distance 1 from each other and from
+any document chosen as a pivot. So the first pivots are the shingles themselves, ordered from rare to
+common: a document's region is that of its first pivot, and as a document it links with may lack some
+of its shingles, it is copied into the regions of as many of its next pivots as that may be. What
+links meets in several regions.
+
+In a region documents are measured against one of them, a pivot document; those that link with it are
+its Voronoi cell, known by their distances to it, and one component. Cells of one region are compared by
+their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link, and
+only those are measured. Regions with very many cells are joined by a block of pivots at a time, again and again.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +24,18 @@ from pyspark.sql import functions as F
 
 from certloom.llm.components import components
 from certloom.llm.shared import written
-from certloom.llm.shingles import Rings, block_keys, node_of, parities, shingles
+from certloom.llm.shingles import CHUNKS, COUNTERS, counters, node_of, parities, rarest, shingles
 from certloom.shipping import by_value
 
-#: Blocks that linked sets have in common at least: regions can be split so many times.
-COMMON = 3
-#: Regions with up to so many documents are compared pair by pair; members of a pivot are dealt by so many.
-SMALL = 32
+#: Regions with up to so many possible pairs of cells are compared at once, larger ones by so many pivots at a time;
+#: members of a pivot are dealt by so many.
+SMALL = 1 << 14
+PIVOTS = 64
 DEALT = 256
-#: Sets whose keys a task remembers to have sent.
+#: Sets that a task remembers to have seen.
 REMEMBERED = 1 << 17
+#: Rounding of distances.
+SLACK = 1e-9
 
 
 @dataclass
@@ -44,49 +48,82 @@ class Join:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """Each document's set in short; and from each task, in chunks, in how many of its distinct sets shingles of a counter are."""
+
     def run(batches):
+        seen, counts = set(), np.zeros(COUNTERS, dtype=np.uint32)
+        names = ["doc_id", "node", "n", "bits", "chunk", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for batch in batches:
             out = {"node": [], "n": [], "bits": []}
             for text in batch.column(1):
                 found = shingles(text.as_py(), size)
+                node = node_of(found) if len(found) else None
+                if node is not None and node not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                    counts[counters(found)] += 1
                 out["n"].append(len(found))
-                out["node"].append(node_of(found) if len(found) else None)
+                out["node"].append(node)
                 out["bits"].append(parities(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["bits"], pa.list_(pa.int64()))],
-                                             names=["doc_id", "node", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in zip(names[1:4], types[1:4], strict=True)),
+                                              pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        if seen:
+            parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, t) for t in types[:4]), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, node long, n long, bits array<long>, chunk int, counts binary")
+
+
+def _classes(sets: DataFrame) -> np.ndarray:
+    """A byte per counter, the binary logarithm of its total over all tasks. COUNTERS bytes, whatever the corpus."""
+
+    def run(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, 0) + np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.int64)
+        made = [(c, np.ceil(np.log2(t + 1)).astype(np.uint8).tobytes()) for c, t in totals.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["chunk", "classes"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, bits array<long>")
+    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), dtype=np.uint8)
+    for row in sets.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, classes binary").collect():
+        out[row["chunk"]] = np.frombuffer(row["classes"], dtype=np.uint8)
+    return out.ravel()
 
 
-def _regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(region, node) of every distinct set; copies within a task are sent once."""
+def _regions(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(region, node, n, inner) of every distinct set; copies within a task are sent once.
+
+    inner: the region is one that the set shares with linked sets of its size or larger.
+    """
+    sent_classes = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
-        rings, sent = Rings(percent, COMMON), set()
+        seen, known = set(), sent_classes.value
         for batch in batches:
-            keys, nodes = [], []
+            keys, nodes, sizes, inner = [], [], [], []
             for text in batch.column(0):
                 found = shingles(text.as_py(), size)
-                if not len(found) or (node := node_of(found)) in sent:
+                if not len(found) or (node := node_of(found)) in seen:
                     continue
-                if len(sent) >= REMEMBERED:
-                    sent.clear()
-                sent.add(node)
-                for ring in rings.of(len(found)):
-                    got = block_keys(found, ring, *rings.blocks(ring))
-                    keys.append(got)
-                    nodes.append(np.full(len(got), node, dtype=np.int64))
-                if sum(map(len, keys[-2:])) and len(keys) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["region", "node"])
-                    keys, nodes = [], []
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+                key, first = rarest(found, known, percent)
+                keys.append(key.view(np.int64))
+                nodes.append(np.full(len(key), node, dtype=np.int64))
+                sizes.append(np.full(len(key), len(found), dtype=np.int32))
+                inner.append(np.arange(len(key)) < first)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["region", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, inner)], names=["region", "node", "n", "inner"])
 
-    return docs.select("text").mapInArrow(run, "region long, node long")
+    return docs.select("text").mapInArrow(run, "region long, node long, n int, inner boolean")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link, by their whole sets.
+def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, their distance by their whole sets, and whether they link.
 
     The texts that occur in pairs are fetched once; sets are dealt by a, and by a salt if
     many are compared with one a, whose set then goes to each salt.
@@ -117,33 +154,34 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perce
     def compare(batches):
         where, own = None, None
         for batch in batches:
-            a, b = [], []
+            out: list[list] = [[], [], [], []]
             for at, part, member, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = np.frombuffer(raw, dtype=np.uint64)
                 if not member:
                     where, own = (at, part), found
                 elif where == (at, part):
                     shared = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(found) - shared):
-                        a.append(at)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    either = len(own) + len(found) - shared
+                    for column, value in zip(out, (at, node, 1 - shared / either, 100 * shared >= percent * either), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)],
+                                             names=["a", "b", "far", "links"])
 
     sets = texts.mapInArrow(spread, "at long, part int, member int, node long, found binary")
     dealt = sets.repartition("at", "part").sortWithinPartitions("at", "part", "member", "node")
-    return written(dealt.mapInArrow(compare, "a long, b long").distinct())
-
+    return written(dealt.mapInArrow(compare, "a long, b long, far double, links boolean").groupBy("a", "b").agg(F.min("far").alias("far"), F.max("links").alias("links")))
 
-def _near(percent: int) -> Column:
-    """Whether sizes and parities of a pair allow a link: the sets differ in at least as many elements as parity bits."""
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (low * 100 >= high * percent) & (differ * (100 + percent) <= (low + high) * (100 - percent))
 
+def _possible(pairs: DataFrame, nodes: DataFrame, least: Column) -> DataFrame:
+    """Pairs (and their other columns) that sizes and parities allow to have a similarity of `least` or more.
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    Sets differ in at least as many elements as in parity bits.
+    """
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b")
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    near = (low >= high * least - SLACK) & (differ * (1 + least) <= (low + high) * (1 - least) + SLACK)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select(*pairs.columns)
 
 
 def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -152,15 +190,62 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the regions that hold more than one component, with the number of members."""
-    counts = members.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return members.join(counts.select("region", "size"), "region")
+    """Cells of the regions that hold more than one component, with the number of their possible pairs.
 
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in small regions."""
-    a, b = (members.select("region", F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-    return a.join(b, "region").where("a < b AND a_root <> b_root").select("a", "b").distinct()
+    members: region, cell, root, inner_n (the smallest set to which the region is an inner one), most_n (the largest set).
+    """
+    counts = members.groupBy("region").agg((F.count("inner_n") * F.count("*")).alias("pairs"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return members.join(counts.where("low < high AND pairs > 0").select("region", "pairs"), "region").select("region", "cell", "root", "inner_n", "most_n", "pairs")
+
+
+def _pairs(inner: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of cells of different components, one of which holds a set that the region is an inner one of, and the other one as large."""
+    a = inner.select("region", F.col("cell").alias("x"), F.col("root").alias("x_root"), "inner_n")
+    b = members.select("region", F.col("cell").alias("y"), F.col("root").alias("y_root"), "most_n")
+    return a.join(b, "region").where("x_root <> y_root AND inner_n <= most_n").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _cells(measured: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, the pivot of its cell, its distance to it; a pivot, and what links with none, is its own."""
+    linked = measured.where("links")
+    pivots = linked.select(F.col("a").alias("pivot")).distinct()
+    inside = linked.join(pivots, linked["b"] == pivots["pivot"], "left_anti").groupBy("b").agg(F.min(F.struct("far", "a")).alias("to"))
+    return nodes.select("node").join(inside, F.col("node") == F.col("b"), "left").select(
+        "node", F.coalesce("to.a", "node").alias("cell"), F.coalesce("to.far", F.lit(0.0)).alias("far"))
+
+
+class _Space:
+    """What is known of the nodes, and the comparing of cells by their pivots."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, cells: DataFrame, size: int, percent: int) -> None:
+        self.docs, self.nodes, self.cells, self.size, self.percent = docs, nodes, cells, size, percent
+        self.reach = 1 - percent / 100
+        self.radius = written(cells.groupBy("cell").agg(F.max("far").alias("radius")))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs of cells (a, b) whose pivots are near enough, by sizes and parities, for members to link."""
+        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"))
+        least = F.greatest(1 - (F.lit(self.reach) + F.col("a_radius") + F.col("b_radius")), F.lit(0.0))
+        return _possible(pairs.join(side("a"), "a").join(side("b"), "b"), self.nodes, least).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Links between the members of pairs of cells (a, b), as many as connect them if there are any."""
+        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"))
+        possible = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = _measured(self.docs, self.nodes, possible.select("a", "b"), self.size, self.percent).join(possible, ["a", "b"])
+        boundary = apart.where(~F.col("links") & (F.col("far") <= self.reach + F.col("a_radius") + F.col("b_radius") + SLACK)
+                               & (F.col("a_radius") + F.col("b_radius") > 0)).select(F.col("a").alias("a_cell"), F.col("b").alias("b_cell"), F.col("far").alias("apart"))
+        for x in ("a", "b"):  # members too near their pivot can't reach the other cell
+            other = "b" if x == "a" else "a"
+            widest = self.radius.select(F.col("cell").alias(f"{other}_cell"), F.col("radius").alias("widest"))
+            inside = self.cells.select(F.col("cell").alias(f"{x}_cell"), F.col("node").alias(x), F.col("far").alias(f"{x}_far"))
+            boundary = boundary.join(widest, f"{other}_cell").join(inside, f"{x}_cell").where(
+                F.col(f"{x}_far") >= F.col("apart") - self.reach - F.col("widest") - SLACK).drop("widest")
+        members = boundary.where((F.col("a_far") + F.col("b_far") >= F.col("apart") - self.reach - SLACK) & (F.col("a_far") + F.col("b_far") > 0)).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = written(_possible(members, self.nodes, F.lit(self.percent / 100)))
+        found = apart.where("links").select("a", "b")
+        return found if near.isEmpty() else found.unionByName(_measured(self.docs, self.nodes, near, self.size, self.percent).where("links").select("a", "b"))
 
 
 def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> Join:
@@ -175,50 +260,42 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     Sets and shingles are known by 64-bit hashes.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = written(_sets(docs, size))
+    told = written(_sets(docs, size))
+    sets = told.where("chunk IS NULL").select("doc_id", "node", "n", "bits")
     nodes = written(sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    in_order = Window.partitionBy("region").orderBy("node")
-    rows = _regions(docs.where("doc_id IS NOT NULL"), size, percent).withColumn(
-        "pivot", F.first("node").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("node").over(in_order))
-    stars = written(rows.where("node > pivot AND node > before").select("region", "pivot", "node"))
-    votes = stars.groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = written(votes.groupBy("node").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("a")).select("a", F.col("node").alias("b")))
-    links = _links(docs, nodes, first, size, percent)
+    regions = _regions(docs.where("doc_id IS NOT NULL"), _classes(told), size, percent)
+    in_order = Window.partitionBy("region").orderBy(F.col("inner").desc(), "node")
+    known = regions.withColumn("pivot", F.first("node").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "shared", F.first("inner").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("node").over(in_order)).withColumn(
+        "after", F.lead("node").over(in_order))
+    one = F.col("node") != F.coalesce("before", F.lit(None).cast("long"))
+    rows = written(known.where(F.col("shared") & (one | (F.col("before").isNull() & F.col("after").isNotNull()))).select("region", "pivot", "node", "n", "inner"))
+    votes = rows.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    first = votes.groupBy("node").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("a")).select("a", F.col("node").alias("b"))
+    measured = _measured(docs, nodes, written(_possible(first, nodes, F.lit(percent / 100))), size, percent)
+    links = measured.where("links").select("a", "b")
     roots = components(links)
-    apart = _with_root(_with_root(stars, roots).withColumnRenamed("root", "node_root").select(
-        "region", F.col("node").alias("member"), F.col("pivot").alias("node"), "node_root"), roots).where("root <> node_root").select("region").distinct()
-    still = stars.join(apart, "region", "left_semi")
-    members = still.select("region", "node").unionByName(still.select("region", F.col("pivot").alias("node")).distinct())
-    open_now = written(_open(_with_root(members, roots)))
-    large, level, pairs = open_now, 1, None
-    while True:
-        found = _pairs(large.where(F.col("size") <= SMALL))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = large.where(F.col("size") > SMALL)
-        if level == COMMON or large.isEmpty():
-            break
-        large, level = written(_open(_deeper(large.select("region", "node", "root")))), level + 1
-    checked = written(_possible(pairs.distinct().join(first, ["a", "b"], "left_anti"), nodes, percent))
-    if not checked.isEmpty():
-        links = links.unionByName(_links(docs, nodes, checked, size, percent))
-        roots = components(links)
-    while not large.isEmpty():  # pivot by pivot: what a pivot was compared with is left without it
-        large = written(_open(_with_root(large.select("region", "node"), roots)))
-        pivots = large.groupBy("region").agg(F.min("node").alias("a"))
-        wanted = large.join(pivots, "region").where("node > a").select("a", F.col("node").alias("b")).distinct()
-        links = links.unionByName(_links(docs, nodes, _possible(wanted, nodes, percent), size, percent))
+    cells = written(_with_root(_cells(measured, nodes), roots))
+    space = _Space(docs, nodes, cells.drop("root"), size, percent)
+    members = rows.join(cells.select("node", "cell", "root"), "node").groupBy("region", "cell", "root").agg(
+        F.min(F.when(F.col("inner"), F.col("n"))).alias("inner_n"), F.max("n").alias("most_n"))
+    still = written(_open(members))
+    small = still.where(F.col("pairs") <= SMALL)
+    near = [written(space.near(_pairs(small.where("inner_n IS NOT NULL"), small)))]
+    large = still.where(F.col("pairs") > SMALL)
+    order = Window.partitionBy("region").orderBy("cell")
+    ranked = written(large.where("inner_n IS NOT NULL").withColumn("turn", F.floor((F.row_number().over(order) - 1) / PIVOTS)))
+    for turn in range((ranked.agg(F.max("turn")).first()[0] or 0) + 1 if not large.isEmpty() else 0):
+        near.append(written(space.near(_pairs(ranked.where(F.col("turn") == turn), large))))
+    pairs = near[0]
+    for more in near[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = written(pairs.distinct())
+    if not pairs.isEmpty():
+        links = written(links.unionByName(space.links(pairs)).distinct())
         roots = components(links)
-        large = written(_open(_with_root(large.join(pivots.select("region", F.col("a").alias("node")), ["region", "node"], "left_anti").select("region", "node"), roots)))
-    return Join(sets.select("doc_id", "node", F.col("n").alias("n_shingles")), roots, links.distinct())
-
-
-def _deeper(members: DataFrame) -> DataFrame:
-    """Regions of those that share one more of their large regions: a document is in one for each pair of its own."""
-    held = members.groupBy("node", "root").agg(F.sort_array(F.collect_set("region")).alias("held"))
-    both = held.select("node", "root", F.posexplode("held").alias("i", "x"), "held").select(
-        "node", "root", "x", F.explode(F.slice("held", F.col("i") + 2, F.greatest(F.size("held") - F.col("i") - 1, F.lit(0)))).alias("y"))
-    return both.select(F.xxhash64("x", "y").alias("region"), "node", "root").distinct()
+    return Join(sets.select("doc_id", "node", F.col("n").alias("n_shingles")), roots, links)
 
 
 def classes(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import xxhash
 
@@ -53,63 +51,29 @@ def parities(found: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-class Rings:
-    """Rings of sets by size, and the blocks into which a ring cuts the shingles.
-
-    The size of a set is its distance (elements by which they differ) from the empty set. By the triangle inequality
-    sets that link, at percent / 100 similarity or more, differ in size by at most what they differ in; so a set
-    is copied into the ring below only from within that window above the boundary.
-    In a ring whose largest set has `high` elements, and with the smaller set of a pair
-    in it, a pair differs in at most slack = high * (100 - percent) / percent elements.
-    """
-
-    def __init__(self, percent: int, common: int, most: int = 1 << 40) -> None:
-        self.percent, self.common, self.bounds = percent, common, [1]
-        while self.bounds[-1] <= most:
-            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 3 // 2))
-
-    def of(self, n: int) -> list[int]:
-        """The set's own ring, and the one below if a set in there can link with it."""
-        ring = bisect_right(self.bounds, n) - 1
-        below = ring and -(-n * self.percent // 100) < self.bounds[ring]
-        return [ring, ring - 1] if below else [ring]
-
-    def blocks(self, ring: int) -> tuple[int, int]:
-        """Number of blocks, and how many of a set may be empty, so that linked sets have `common` non-empty ones the same."""
-        slack = (self.bounds[ring + 1] - 1) * (100 - self.percent) // self.percent
-        spare = self.common + 1 + (slack + self.common) * 16 // 100
-        return slack + spare, spare - self.common
+#: Counters of how common shingles are, and the chunks in which they are added up: a fixed size whatever the corpus.
+COUNTERS = 1 << 22
+CHUNKS = 1 << 10
 
 
-SEEDS = 8
+def counters(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(42)).astype(np.int64)
 
 
-def block_keys(found: np.ndarray, ring: int, blocks: int, spare: int) -> np.ndarray:
-    """Keys of the regions of a set in a ring: one per non-empty block, by the block and all that the set has in it.
+def rarest(found: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set of which a linked one must have some, rarest first by class, then by hash.
 
-    Sets that link differ in fewer elements than there are blocks, so some blocks are the same in both. If too many of
-    a set's blocks are empty, it also takes part in another cut; its partners either find
-    it in the first cut or do the same. After the last cut the empty blocks count too.
+    A set of n elements that links, at percent / 100 similarity or more, shares at least n * percent / 100 of them:
+    it can lack few enough that it has one of the rarest ones returned. With a set of its own size or a larger one it
+    shares even 2 * percent / (100 + percent) of its own, so one of the first `inner` of these is in both.
+    Sets that link with equal ones alone need none.
     """
-    keys = []
-    for seed in range(SEEDS):
-        with np.errstate(over="ignore"):
-            h = mix(found + np.uint64(seed * 7919 + 1) * _FACTORS[7])
-            at = (h % np.uint64(blocks)).astype(np.int64)
-            value = mix(h ^ _FACTORS[11])
-        low = np.bincount(at, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=blocks)
-        high = np.bincount(at, weights=(value >> np.uint64(32)).astype(np.float64), minlength=blocks)
-        full = np.bincount(at, minlength=blocks) > 0
-        with np.errstate(over="ignore"):
-            total = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
-            place = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(ring * 64 + seed) * _FACTORS[13])
-            key = mix(total ^ place)
-        empty = int(blocks - full.sum())
-        last = empty <= spare or seed == SEEDS - 1
-        keys.append(key[full] if empty <= spare or not last else key)
-        if last:
-            break
-    return np.concatenate(keys).view(np.int64)
+    n = len(found)
+    if n * (100 - percent) < percent:
+        return found[:0], 0
+    outer = n + (-n * percent // 100) + 1
+    inner = n + (-2 * n * percent // (100 + percent)) + 1
+    return found[np.lexsort((found, classes[counters(found)]))[:outer]], inner
 
 
 by_value(__name__)
