@@ -6,8 +6,9 @@ common: a document's region is that of its first pivot, and as a document it lin
 of its shingles, it is copied into the regions of as many of its next pivots as that may be. What
 links meets in several regions.
 
-In a region documents are measured against one of them, a pivot document; those that link with it are
-its Voronoi cell, known by their distances to it, and one component. Cells of one region are compared by
+In a region documents are measured against one of them, a pivot document, a document against the pivots of a few of its
+regions; those that link with a pivot are its Voronoi cell (each in that of its nearest pivot), known by their
+distances to it, and one component. Cells of one region are compared by
 their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link, and
 only those are measured. Regions with very many cells are joined by a block of pivots at a time, again and again.
 """
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from certloom.llm.components import components
 from certloom.llm.shared import written
 from certloom.llm.shingles import CHUNKS, COUNTERS, counters, node_of, parities, rarest, shingles
+from certloom.operators.ordered import top_per_key
 from certloom.shipping import by_value
 
 #: Regions with up to so many possible pairs of cells are compared at once, larger ones by so many pivots at a time;
-#: members of a pivot are dealt by so many.
+#: members of a pivot are dealt by so many; a document is first measured against so many pivots of its regions.
 SMALL = 1 << 14
 PIVOTS = 64
 DEALT = 256
+TRIED = 3
 #: Sets that a task remembers to have seen.
 REMEMBERED = 1 << 17
 #: Rounding of distances.
@@ -272,8 +275,9 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     one = F.col("node") != F.coalesce("before", F.lit(None).cast("long"))
     rows = written(known.where(F.col("shared") & (one | (F.col("before").isNull() & F.col("after").isNotNull()))).select("region", "pivot", "node", "n", "inner"))
     votes = rows.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = votes.groupBy("node").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("a")).select("a", F.col("node").alias("b"))
-    measured = _measured(docs, nodes, written(_possible(first, nodes, F.lit(percent / 100))), size, percent)
+    likely = _possible(votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n"), nodes, F.lit(percent / 100))
+    first = top_per_key(likely, ["b"], [F.col("n").desc(), F.col("a")], TRIED, "rank").select("a", "b")
+    measured = _measured(docs, nodes, written(first), size, percent)
     links = measured.where("links").select("a", "b")
     roots = components(links)
     cells = written(_with_root(_cells(measured, nodes), roots))
