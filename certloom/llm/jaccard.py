@@ -6,7 +6,7 @@ common: a document's region is that of its first pivot, and as a document it lin
 of its shingles, it is copied into the regions of as many of its next pivots as that may be. What
 links meets in several regions.
 
-In a region documents are measured against one of them, a pivot document, a document against the pivots of a few of its
+In a region documents are measured against the one with the least of its own, a pivot document, a document against the pivots of a few of its
 regions; those that link with a pivot are its Voronoi cell (each in that of its nearest pivot), known by their
 distances to it, and one component. Cells of one region are compared by
 their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link, and
@@ -97,16 +97,17 @@ def _classes(sets: DataFrame) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(region, node, n, inner) of every distinct set; copies within a task are sent once.
+    """(region, node, n, inner, typical) of every distinct set; copies within a task are sent once.
 
-    inner: the region is one that the set shares with linked sets of its size or larger.
+    inner: the region is one that the set shares with linked sets of its size or larger. typical: how common
+    the set's rarest shingle is, highest where a set has nothing of its own, as the original of many copies.
     """
     sent_classes = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         seen, known = set(), sent_classes.value
         for batch in batches:
-            keys, nodes, sizes, inner = [], [], [], []
+            keys, nodes, sizes, inner, typical = [], [], [], [], []
             for text in batch.column(0):
                 found = shingles(text.as_py(), size)
                 if not len(found) or (node := node_of(found)) in seen:
@@ -119,10 +120,12 @@ def _regions(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> D
                 nodes.append(np.full(len(key), node, dtype=np.int64))
                 sizes.append(np.full(len(key), len(found), dtype=np.int32))
                 inner.append(np.arange(len(key)) < first)
+                typical.append(np.full(len(key), known[counters(key[:1])[0]] if len(key) else 0, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, inner)], names=["region", "node", "n", "inner"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, inner, typical)],
+                                                 names=["region", "node", "n", "inner", "typical"])
 
-    return docs.select("text").mapInArrow(run, "region long, node long, n int, inner boolean")
+    return docs.select("text").mapInArrow(run, "region long, node long, n int, inner boolean, typical int")
 
 
 def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -268,7 +271,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     nodes = written(sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     regions = _regions(docs.where("doc_id IS NOT NULL"), _classes(told), size, percent)
-    in_order = Window.partitionBy("region").orderBy(F.col("inner").desc(), "node")
+    in_order = Window.partitionBy("region").orderBy(F.col("inner").desc(), F.col("typical").desc(), "node")
     known = regions.withColumn("pivot", F.first("node").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "shared", F.first("inner").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("node").over(in_order)).withColumn(
         "after", F.lead("node").over(in_order))
