@@ -11,10 +11,14 @@ regions; those that link with a pivot are its Voronoi cell (each in that of its
 distances to it, and one component. Cells of one region are compared by
 their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link, and
 only those are measured. Regions with very many cells are joined by a block of pivots at a time, again and again.
+
+That gives the components. All links are within them, so links are counted component by component: its sets are
+dealt to blocks by size and hash, and every two blocks whose sizes allow links are compared whole, by matrices.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -35,6 +39,9 @@ SMALL = 1 << 14
 PIVOTS = 64
 DEALT = 256
 TRIED = 3
+#: Links are counted between blocks of about so many sets, over so many shingles at a time.
+BLOCK = 256
+COLUMNS = 1 << 13
 #: Sets that a task remembers to have seen.
 REMEMBERED = 1 << 17
 #: Rounding of distances.
@@ -43,7 +50,7 @@ SLACK = 1e-9
 
 @dataclass
 class Join:
-    """documents: doc_id, node (one number per set), n_shingles; roots: node, root (of nodes with links); links: a, b."""
+    """documents: doc_id, node (one number per set), n_shingles; roots: node, root (of nodes with links); links: a, b, as many as connect."""
 
     documents: DataFrame
     roots: DataFrame
@@ -305,21 +312,119 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     return Join(sets.select("doc_id", "node", F.col("n").alias("n_shingles")), roots, links)
 
 
-def classes(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _linked(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the first list link with which of the second."""
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (first, second)]
+    cut = int(sizes[0].sum())
+    _, at, times = np.unique(np.concatenate([*first, *second]), return_inverse=True, return_counts=True)
+    dense = np.cumsum(times > 1) - 1  # shingles of one set alone are shared by none
+    kept = times[at] > 1
+    owner = [np.repeat(np.arange(len(n)), n)[k] for n, k in zip(sizes, (kept[:cut], kept[cut:]), strict=True)]
+    column = [dense[at[:cut][kept[:cut]]], dense[at[cut:][kept[cut:]]]]
+    shared = np.zeros((len(first), len(second)), dtype=np.int64)
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        has = []
+        for n, rows, columns in zip(sizes, owner, column, strict=True):
+            some = (columns >= low) & (columns < low + COLUMNS)
+            has.append(np.zeros((len(n), COLUMNS), dtype=np.float32))
+            has[-1][rows[some], columns[some] - low] = 1
+        shared += (has[0] @ has[1].T).astype(np.int64)
+    return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def degrees(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, linked: the number of documents of other nodes that a node links with, every link counted.
+
+    nodes: node, doc_id, n, copies (its documents). A component of up to BLOCK sets is one block; of a larger one, sets
+    are in bands of size, a band being so wide that links go to the next one at most, and in blocks of a band by hash.
+    """
+    width = max(-math.log(percent / 100), 1e-3) * (1 + 1e-6)
+    inside = roots.join(nodes, "node")
+    total = inside.groupBy("root").agg(F.count("*").alias("total"))
+    banded = inside.join(total, "root").withColumn("band", F.when(F.col("total") <= BLOCK, 0).otherwise(F.floor(F.log("n") / width)).cast("int"))
+    parts = banded.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = written(banded.join(parts, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    to = lambda low, high, x, y, side: F.struct("root", F.col(low).alias("low"), F.col(high).alias("high"), x.alias("x"), y.alias("y"), side.cast("int").alias("side")).alias("to")
+    among = own.select("node", "root", "band", "block", every("parts")).select("node", to(
+        "band", "band", F.least("block", "other"), F.greatest("block", "other"), F.col("block") > F.col("other")))
+    beside = parts.select("root", F.col("band").alias("next"), F.col("parts").alias("others"))
+    up = own.join(beside.withColumn("band", F.col("next") - 1), ["root", "band"]).select("node", "root", "band", "next", "block", every("others")).select(
+        "node", to("band", "next", F.col("block"), F.col("other"), F.lit(0)))
+    down = own.join(beside.withColumn("band", F.col("next") + 1), ["root", "band"]).select("node", "root", "band", "next", "block", every("others")).select(
+        "node", to("next", "band", F.col("other"), F.col("block"), F.lit(1)))
+    tasks = among.unionByName(up).unionByName(down).groupBy("node").agg(F.collect_list("to").alias("to"))
+    wanted = tasks.join(nodes.select("node", "doc_id", "copies"), "node")
+    key = ["root", "low", "high", "x", "y"]
+    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("node", "copies", "text", *(F.col("to")[c].alias(c) for c in [*key, "side"]))
+    types = [pa.int64(), *[pa.int32()] * 5]
+
+    def spread(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node, copies, text, *to = (c[i].as_py() for c in batch.columns)
+                found = shingles(text, size)
+                if node != node_of(found):
+                    continue  # another document of that id
+                for k in range(0, len(to[0]), 64):
+                    part = [pa.array(values[k : k + 64], kind) for values, kind in zip(to, types, strict=True)]
+                    m = len(part[0])
+                    yield pa.RecordBatch.from_arrays([*part, pa.array([node] * m, pa.int64()), pa.array([copies] * m, pa.int64()), pa.array([found.tobytes()] * m, pa.binary())],
+                                                     names=[*key, "side", "node", "copies", "found"])
+
+    def count(batches):
+        def told(where, held):
+            alone = where[1] == where[2] and where[3] == where[4]
+            sides = (held[0], held[0]) if alone else (held[0], held[1])
+            if not sides[0] or not sides[1]:
+                return
+            first, second = ([np.frombuffer(raw, dtype=np.uint64) for _, raw in side.values()] for side in sides)
+            links = _linked(first, second, percent)
+            if alone:
+                np.fill_diagonal(links, False)
+            weights = [np.array([copies for copies, _ in side.values()], dtype=np.int64) for side in sides]
+            done = [(list(sides[0]), links @ weights[1])] + ([] if alone else [(list(sides[1]), links.T @ weights[0])])
+            for names, sums in done:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sums, pa.int64())], names=["node", "linked"])
+
+        where, held = None, ({}, {})
+        for batch in batches:
+            for *now, side, node, copies, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != where:
+                    if where is not None:
+                        yield from told(where, held)
+                    where, held = now, ({}, {})
+                held[side][node] = (copies, raw)
+        if where is not None:
+            yield from told(where, held)
+
+    sets = texts.mapInArrow(spread, "root long, low int, high int, x int, y int, side int, node long, copies long, found binary")
+    dealt = sets.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def classes(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, or its own), n_links.
 
-    n_links counts the links of its node that were needed to connect it.
-    A row without doc_id has no component.
+    n_links counts all other documents (distinct doc_ids of a set) that it links with, copies with an equal set among
+    them. Without count_links the column is left out, and so is the work for it.
+    A row without doc_id has no component, and no link.
     """
     done = join(docs, percent, size, doc_id, text)
-    ends = done.links.select(F.col("a").alias("node")).unionByName(done.links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = done.documents.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = written(_with_root(nodes, done.roots))
+    named = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    nodes = written(done.documents.where(named).groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count_distinct("doc_id").alias("copies")))
+    rooted = written(_with_root(nodes.withColumnRenamed("doc_id", "least"), done.roots))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    known = rooted.join(least, "root").join(ends, "node", "left").select(F.col("node").alias("of"), "component", "n_links")
+    known = rooted.join(least, "root").select(F.col("node").alias("of"), "component", "copies")
+    out = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+    if count_links:
+        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        linked = written(degrees(texts, nodes, done.roots, size, percent)).withColumnRenamed("node", "linked_of")
+        known = known.join(linked, F.col("of") == F.col("linked_of"), "left").select("of", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
     rows = done.documents
-    return rows.join(known, rows["node"] == known["of"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(known, rows["node"] == known["of"], "left").select(*out)
 
 
 by_value(__name__)

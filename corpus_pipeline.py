@@ -30,7 +30,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest doc_id. Those without words or doc_id stay."""
-    known = jaccard.classes(docs)
+    known = jaccard.classes(docs, count_links=False)
     gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
 

@@ -116,3 +116,29 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_links(rows):
+    """For each document, the other documents at a similarity of four fifths or more, equal sets among them."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    return {i: sum(1 for j, t in sets if j != i and s and t and 100 * len(s & t) >= 80 * len(s | t)) for i, s in sets}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    """A group of near copies, links in chains, equal sets; with tiny blocks every component is dealt to several."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    group = [(1000 + i, " ".join([*base, *(f"x{rng.randrange(9)}" for _ in range(rng.randrange(12)))])) for i in range(40)]
+    rows = corpus(5, small=True) + group
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows)
+    assert max(got[i] for i, _ in group) == 39
+
+
+def test_links_of_repeated_rows(spark):
+    """Rows that repeat doc_id and text are one document; a row without doc_id has no link and gives none."""
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (4, "A B C D E F"), (None, "a b c d e f"), (5, "x"), (6, "")]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_links"]) for r in got) == [(0, 0), (3, 1), (3, 1), (4, 1), (5, 0), (6, 0)]
