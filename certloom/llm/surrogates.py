@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +27,22 @@ TITLES = {
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _CARD = re.compile(r"(?<!\d)(?:\d[ \-]?){12,18}\d(?!\d)")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)")
+_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}-\d{3}-\d{4}|(?<!\d\.)\d{3}\.\d{3}\.\d{4}(?!\.\d))(?!\d)")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_\-]?key)[\"']?\s*[=:]\s*[\"']?(?P<part>[^\s\"',;]{6,})")
+# Small words inside a name, which stay.
+PARTICLES = ["van", "von", "der", "den", "de", "la", "le", "del", "da", "di", "du", "dos", "bin", "ibn", "al", "el", "y"]
+
+_CAPITAL = r"[^\W\d_a-zа-яё]"
+_NAME = rf"(?:{_CAPITAL}\.[ \-]?)*{_CAPITAL}[^\W\d_]*"
+_SMALL = "(?:(?:" + "|".join(PARTICLES) + ") )*"
 _PERSON = re.compile(r"(?<!\w)(?:(?P<m>" + "|".join(map(re.escape, TITLES["m"])) + r")|(?P<f>" + "|".join(map(re.escape, TITLES["f"]))
-                     + r"))\.? (?P<part>[^\W\d_a-zа-я][^\W\d_]*(?:[ \-][^\W\d_a-zа-я][^\W\d_]*)?)(?!\w)")
+                     + rf"))\.? (?P<part>{_SMALL}{_NAME}(?:[ \-'’]{_SMALL}{_NAME})*)(?!\w)")
+_WORD = re.compile(r"[^\W\d_]+")
+_BARE = re.compile(rf"(?<!\w){_CAPITAL}[^\W\d_]+(?!\w)")
+_INITIALS = re.compile(rf"(?<!\w)(?:{_CAPITAL}(?:\.[ \-]?|['’]))+$")
 
 _LETTERS = {
     "latin": (list("bdfgklmnprstvz"), list("aeiou"), ["o", "an", "us"], ["a", "ia", "ine"]),
@@ -65,8 +75,39 @@ def _script(name: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
 
 
+def _parts(name: str) -> list[re.Match]:
+    """The words of a name that are replaced, initials among them."""
+    return [m for m in _WORD.finditer(name) if m[0] not in PARTICLES]
+
+
+def _canonical(name: str) -> str:
+    return " ".join(m[0].casefold() for m in _parts(name))
+
+
+def _bare(text: str, known: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """start, end, kind of untitled mentions of known parts; neighbours of one kind are one mention, initials before it go with it."""
+    run: tuple[int, int, str] | None = None
+    for m in _BARE.finditer(text):
+        kind = known.get(m[0].casefold())
+        if kind is None:
+            continue
+        if run and run[2] == kind and text[run[1] : m.start()] in (" ", "-"):
+            run = (run[0], m.end(), kind)
+            continue
+        if run:
+            yield run
+        low = max(run[1] if run else 0, m.start() - 24)
+        before = _INITIALS.search(text[low : m.start()])
+        run = (low + before.start() if before else m.start(), m.end(), kind)
+    if run:
+        yield run
+
+
 def detect(text: str) -> list[Entity]:
-    """Entities of a whole text, from left to right; of overlapping ones the first, the longer of two that begin together."""
+    """Entities of a whole text, from left to right; of overlapping ones the first, the longer of two that begin together.
+
+    A person is found by a title; other capitalised mentions of the parts of that name in the text are the same person's.
+    """
     found: list[tuple[int, int, int, str, str]] = []
 
     def add(rank: int, kind: str, pattern: re.Pattern, canonical, part: str | int = 0) -> None:
@@ -89,9 +130,16 @@ def detect(text: str) -> list[Entity]:
         add(6, "phone", _PHONE, lambda s: ("+" if s[0] == "+" else "") + digits(s))
     if "." in text and re.search(r"\d\.\d", text):
         add(7, "ip", _IP, str)
+    known: dict[str, str] = {}
     for m in _PERSON.finditer(text):
         gender = "m" if m["m"] else "f"
-        found.append((m.start("part"), -m.end("part"), 8, f"person_{gender}_{_script(m['part'])}", m["part"].casefold().replace("-", " ")))
+        kind = f"person_{gender}_{_script(m['part'])}"
+        found.append((m.start("part"), -m.end("part"), 8, kind, _canonical(m["part"])))
+        for part in _parts(m["part"]):
+            if len(part[0]) > 1:
+                known.setdefault(part[0].casefold(), kind)
+    if known:
+        found += [(start, -end, 9, kind, _canonical(text[start:end])) for start, end, kind in _bare(text, known)]
     out: list[Entity] = []
     for start, end, _, kind, canonical in sorted(found):
         if not out or start >= out[-1].end:
@@ -118,6 +166,14 @@ def _like(stream: Iterator[int], text: str) -> str:
     return "".join(next((_pick(stream, out) for of, out in classes if c in of), c) for c in text)
 
 
+def _initial(letter: str, script: str, key: str) -> str:
+    """The next letter in a keyed order of the alphabet: never itself, and two letters of it never alike."""
+    alphabet = string.ascii_lowercase if script == "latin" else "абвгдежзиклмнопрстуфхцчшэюя"
+    order = sorted(alphabet, key=lambda c: hmac.new(key.encode(), f"initial\x1f{c}".encode(), hashlib.sha256).digest())
+    plain = unicodedata.normalize("NFKD", letter)[0]
+    return order[(order.index(plain) + 1) % len(order)] if plain in order else _pick(_stream(key, "initial", letter), order)
+
+
 def _name(stream: Iterator[int], script: str, gender: str, syllables: int) -> str:
     consonants, vowels, male, female = _LETTERS[script]
     return "".join(_pick(stream, consonants) + _pick(stream, vowels) for _ in range(syllables)) + _pick(stream, consonants) + _pick(stream, male if gender == "m" else female)
@@ -155,7 +211,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
         return canonical[:4] + "".join(_pick(s, string.ascii_uppercase + string.digits) for _ in canonical[4:])
     if kind.startswith("person"):
         _, gender, script = kind.split("_")
-        return " ".join(_name(_stream(key, kind, part, attempt), script, gender, 1 + attempt // 4 + i) for i, part in enumerate(canonical.split(" ")))
+        return " ".join(_initial(part, script, key) if len(part) == 1 else _name(_stream(key, kind, part, attempt), script, gender, 2 + attempt // 4)
+                        for part in canonical.split(" "))
     return _like(s, canonical)
 
 
@@ -165,32 +222,41 @@ def dress(kind: str, surface: str, value: str) -> str:
         drawn = iter(value.lstrip("+"))
         return "".join(next(drawn) if c.isalnum() else c for c in surface)
     if kind.startswith("person"):
-        parts, marks = value.split(" "), re.findall(r"[ \-]", surface)
-        old = re.split(r"[ \-]", surface)
-        new = [n.upper() if o.isupper() and len(o) > 1 else n.capitalize() for n, o in zip(parts, old, strict=True)]
-        return "".join(a + b for a, b in zip(new, [*marks, ""], strict=True))
+        out, at = [], 0
+        for new, m in zip(value.split(" "), _parts(surface), strict=True):
+            out += [surface[at : m.start()], new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize()]
+            at = m.end()
+        return "".join([*out, surface[at:]])
     if kind == "email":
         at = surface.index("@")
         return "".join(v.upper() if o.isupper() else v for v, o in zip(value[:at], surface[:at], strict=True)) + value[at:]
     return value
 
 
+def _settled(e: Entity) -> list[tuple[str, str]]:
+    """What gets a surrogate of its own: the parts of a name (its initials have a fixed one), else the entity."""
+    if e.kind.startswith("person"):
+        return [(e.kind, part) for part in e.canonical.split(" ") if len(part) > 1]
+    return [(e.kind, e.canonical)]
+
+
 def replace(text: str, attempts: dict[tuple[str, str], int], key: str) -> tuple[str, list[Entity]]:
     out, at, found = [], 0, detect(text)
     for e in found:
-        value = surrogate(e.kind, e.canonical, attempts.get((e.kind, e.canonical), 0), key)
+        pieces = e.canonical.split(" ") if e.kind.startswith("person") else [e.canonical]
+        value = " ".join(surrogate(e.kind, x, attempts.get((e.kind, x), 0), key) for x in pieces)
         out += [text[at : e.start], dress(e.kind, text[e.start : e.end], value)]
         at = e.end
     return "".join([*out, text[at:]]) if out else text, found
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, kind, canonical): the distinct entities of each text, known by its MD5."""
+    """(text_key, kind, canonical): the distinct entities of each text, of names their parts, known by its MD5."""
 
     def run(batches):
         for batch in batches:
-            rows = [(k, e.kind, e.canonical) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for e in {(x.kind, x.canonical): x for x in detect(t)}.values()]
+            rows = [(k, *x) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                    for x in dict.fromkeys(x for e in detect(t) for x in _settled(e))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["text_key", "kind", "canonical"])
 
     kept = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("text_key"), F.col(text).alias("text"))

@@ -106,6 +106,21 @@ def test_surrogates_keep_type_and_format():
     assert new == surrogates.replace(PRIVATE, {}, "k")[0] != surrogates.replace(PRIVATE, {}, "other")[0]
 
 
+def test_names_in_all_forms_have_one_surrogate_a_part():
+    text = ("Mr John Ronald Tolkien met Mr. J. Smith and Herr Ludwig van Beethoven. Later John Tolkien, J. R. Tolkien, Tolkien's son and Smith "
+            "came, then Beethoven. Mr Ronald Tolkien and Mr Smith left; Mr O'Neill and O'Neill stayed, a smith sang. 415.555.0199")
+    new, found = surrogates.replace(text, {}, "k")
+    for gone in ("John", "Ronald", "Tolkien", "Smith", "J.", "Ludwig", "Beethoven", "Neill", "415.555"):
+        assert gone not in new
+    part = lambda name: surrogates.surrogate("person_m_latin", name, 0, "k").capitalize()
+    john, ronald, tolkien, smith = map(part, ("john", "ronald", "tolkien", "smith"))
+    assert new.startswith(f"Mr {john} {ronald} {tolkien} met Mr. ") and f"Later {john} {tolkien}, " in new and f"{tolkien}'s son and {smith} came" in new
+    assert f"Mr {ronald} {tolkien} and Mr {smith} left" in new and " van " in new and "a smith sang" in new
+    assert len(found) == 13
+    letters = [surrogates.surrogate("person_m_latin", c, 0, "k") for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert len(set(letters)) == 26 and all(a != b for a, b in zip(letters, "abcdefghijklmnopqrstuvwxyz", strict=True))
+
+
 def test_collisions_are_settled(spark, monkeypatch):
     """Few last octets make addresses collide; distinct entities still get distinct, new surrogates."""
     rows = [("ip", f"192.168.0.{i}") for i in range(1, 60)] + [("ssn", f"000-00-000{i}".replace("-", "")) for i in range(10)]
