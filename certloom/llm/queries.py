@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.llm import bpe, chat, collisions, jaccard, lines, mixing, quality, surrogates, topk, toxicity
+from certloom.llm import align, bpe, chat, collisions, jaccard, lines, mixing, quality, simhash, spelling, surrogates, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Where the public vocabulary files are; a caller of the operators gives any other path.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -166,3 +168,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for the personal data in it."""
     done = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="certloom")
     return done.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.size("entities").alias("n_entities"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with the more frequent one that it is one edit from, and the last of these."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its class of near fingerprints."""
+    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned where both end."""
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PIECES)
