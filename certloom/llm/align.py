@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -24,48 +23,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certloom.llm.bpe import _byte_of_char
+from certloom.llm.bpe import PIECES, _byte_of_char
 from certloom.llm.shared import written
 from certloom.shipping import by_value
 
-#: Bytes of a stretch, of a text that is encoded at a time, and of the texts of a batch.
+#: Bytes of a stretch; characters of a text that is encoded at a time, and of the texts of a batch.
 STRETCH = 1 << 10
 PART = 1 << 16
 BATCH = 1 << 21
 #: In a pair of ids the first is above these bits.
 LOW = 32
 #: A single blank between non-blanks: both tokenizers begin a token there and none reaches across.
-BETWEEN_WORDS = regex.compile(r"(?<=\S) (?=\S)")
+BETWEEN_WORDS = regex.compile(r"(?<=[!-~\p{L}\p{N}]) (?=[!-~\p{L}\p{N}])")
 
 
 class Pair:
     """Both tokenizers, built from the contents of their files."""
 
     def __init__(self, byte_level: str, pieces: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_str(byte_level)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
         of = _byte_of_char()
-        vocabulary = json.loads(byte_level)["model"]["vocab"]
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+        model = json.loads(byte_level)["model"]
+        ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if all(c in of for c in token)}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][u + v] for u, v in merges]
+        if made != sorted(made) or len(set(made)) < len(made):
+            raise ValueError("the file's ids are not in the order of its merges")
+        kept = set(made)  # special tokens' strings are plain text
+        self.a = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks={t: i for t, i in ranks.items() if len(t) == 1 or i in kept}, special_tokens={})
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         # else a piece could reach across a cut between words
         self.cut = not any("▁" in p.lstrip("▁") for p in names)
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        # each id as text, with what can follow it inside the groups: A's , and | and B's , and ;
+        self.printed = [f"{i}{after}".encode() for n, after in ((len(self.bytes_a), ","), (len(self.bytes_a), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";")) for i in range(n)]
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of space + text by A and of text by B, which adds the space; None where their bytes are not those of space + text.
 
-        Long texts are encoded in parts, cut between words.
+        Long texts are encoded in parts, cut between words: each part's blank is the one before it, the text's own or the added one.
         """
         if not text:
             return None
@@ -75,14 +78,13 @@ class Pair:
             at = found.end()
         parts.append(text[at:])
         ids_a, ids_b = [], []
-        for part in parts:  # each part's blank is the one before it, the text's own or the added one
-            a, b = self.a.encode(" " + part, add_special_tokens=False).ids, self.b.encode(part)
-            whole = (" " + part).encode()
+        for part in parts:
+            a, b, whole = self.a.encode_ordinary(" " + part), self.b.encode(part), (" " + part).encode()
             if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
                 return None
-            ids_a.append(np.array(a, dtype=np.int64))
-            ids_b.append(np.array(b, dtype=np.int64))
-        return np.concatenate(ids_a), np.concatenate(ids_b)
+            ids_a += a
+            ids_b += b
+        return np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
 
 
 def ends(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +122,19 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, stretch: int = STRETCH) -> tu
     return i[order], j[order]
 
 
-def groups_text(a: list[int], b: list[int], i: np.ndarray, j: np.ndarray) -> bytes:
-    """`a1,a2|b1;a3|b2,b3`: the ids between cuts. i, j: of a document's links, the last tokens of its groups."""
-    a, b = list(map(str, a)), list(map(str, b))
-    made, x, y = [], 0, 0
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-        made.append(f"{a[x]}|{b[y]}" if p == x and q == y else ",".join(a[x : p + 1]) + "|" + ",".join(b[y : q + 1]))
-        x, y = p + 1, q + 1
-    return ";".join(made).encode()
+def groups_order(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, of_a: int, of_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens in the order in which groups are written, `a1,a2|b1;a3|b2,b3;`, as numbers of printed ids, and where each group of it ends.
+
+    a, b: ids; i, j: the last tokens of the groups; of_a, of_b: sizes of the vocabularies.
+    """
+    group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+    last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    last_a[i], last_b[j] = True, True
+    before_b = np.append(0, j + 1)  # B tokens of all groups before
+    order = np.empty(len(a) + len(b), dtype=np.int64)
+    order[np.arange(len(a)) + before_b[group_a]] = a + of_a * last_a
+    order[np.arange(len(b)) + i[group_b] + 1] = b + 2 * of_a + of_b * last_b
+    return order, i + j + 2
 
 
 _ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, batch long, links binary, pairs binary, times binary")
@@ -140,11 +147,13 @@ def _aligned(docs: DataFrame, tokenizers) -> DataFrame:
     def batch_rows(keys, coded, number: int, tables: Pair):
         some = [k for k, c in enumerate(coded) if c is not None]
         a, b = [coded[k][0] for k in some], [coded[k][1] for k in some]
-        (end_a, from_a), (end_b, from_b) = ends(a, tables.length_a), ends(b, tables.length_b)
+        (end_a, from_a), (end_b, _) = ends(a, tables.length_a), ends(b, tables.length_b)
         i, j = lockstep(end_a, end_b)
         flat_a, flat_b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
         pairs, position, times = np.unique(flat_a[i] << LOW | flat_b[j], return_inverse=True, return_counts=True)
         cuts = np.searchsorted(i, from_a)
+        order, group_ends = groups_order(flat_a, flat_b, i, j, len(tables.bytes_a), len(tables.bytes_b))
+        order, group_ends = order.tolist(), np.append(0, group_ends)
         out = {name: [] for name in ("n_a", "n_b", "n_groups", "sha", "links")}
         of = dict(zip(some, range(len(some)), strict=True))
         for k in range(len(coded)):
@@ -154,7 +163,7 @@ def _aligned(docs: DataFrame, tokenizers) -> DataFrame:
                 continue
             d = of[k]
             own = slice(cuts[d], cuts[d + 1])
-            text = groups_text(a[d].tolist(), b[d].tolist(), i[own] - from_a[d], j[own] - from_b[d])
+            text = b"".join([tables.printed[x] for x in order[group_ends[cuts[d]] : group_ends[cuts[d + 1]]]])[:-1]
             out["n_a"].append(len(a[d]))
             out["n_b"].append(len(b[d]))
             out["n_groups"].append(cuts[d + 1] - cuts[d])

@@ -88,6 +88,19 @@ def test_very_long_texts_clashing_columns_and_empty_tables(spark):
     assert found(df.where(F.lit(False))) == []
 
 
+def test_ids_are_those_of_the_file():
+    """Every token's text, and runs of tokens that meet nowhere in prose, by the file's own library."""
+    pair = align.Pair(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    own = tokenizers.Tokenizer.from_file(A)
+    own.encode_special_tokens = True
+    texts = [t.decode("utf-8", "replace") for t in pair.bytes_a]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(texts).strip() for _ in range(rng.randint(2, 5))) for _ in range(60_000)]
+    texts += ["".join(rng.choice("aethrsin") for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    wanted = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert [pair.a.encode_ordinary(t) for t in texts] == wanted
+
+
 @pytest.mark.parametrize("stretch", [1, 7, 64, 1 << 20])
 def test_lockstep_finds_every_common_end(stretch):
     rng = np.random.default_rng(2)
