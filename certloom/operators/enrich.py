@@ -9,8 +9,9 @@ from certloom import vocab
 from certloom.functions.text import (
     is_meaningful, let, one_of, optional_blank, placeholder_to_null, strip, text, token,
 )
-from certloom.operators.lookups import lookup_join, unique_values
+from certloom.operators.lookups import composite, keyed, lookup_join, lookup_many, unique_values
 from certloom.operators.ordered import first_per_key
+from certloom.session import written
 
 _VALUES = ["device_name", "device_model", "manufacturer"]
 
@@ -23,19 +24,13 @@ def _filled(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
-def code_lookup(records: DataFrame, scope: list[str]) -> DataFrame:
-    """Per code (inside a scope): the name, model and manufacturer that are unambiguous."""
-    keyed = records.select(*scope, _token_or_null("device_code").alias("code"), *[_filled(v).alias(v) for v in _VALUES])
-    return unique_values(keyed.where(F.col("code").isNotNull()), [*scope, "code"], _VALUES)
-
-
-def pair_lookup(records: DataFrame, scope: list[str]) -> DataFrame:
-    """Per name and model: the manufacturer where it is unambiguous."""
-    keyed = records.select(
-        *scope, _token_or_null("device_name").alias("name"), _token_or_null("device_model").alias("model"),
-        _filled("manufacturer").alias("manufacturer"))
-    keyed = keyed.where(F.col("name").isNotNull() & F.col("model").isNotNull())
-    return unique_values(keyed, [*scope, "name", "model"], ["manufacturer"])
+def unique_entries(records: DataFrame, scope: list[str], kinds: tuple[str, str]) -> DataFrame:
+    """(which, key, values) of one source: a row per code and per name and model, not yet combined."""
+    tokens = {t: _token_or_null(f"device_{t}") for t in ("code", "name", "model")}
+    inside = [F.col(c) for c in scope]
+    return keyed(
+        records, {kinds[0]: composite(*inside, tokens["code"]), kinds[1]: composite(*inside, tokens["name"], tokens["model"])},
+        {v: _filled(v) for v in _VALUES})
 
 
 def unique_lookup_fill(records: DataFrame, library: DataFrame | None = None, scope: str = "file_id") -> DataFrame:
@@ -43,29 +38,28 @@ def unique_lookup_fill(records: DataFrame, library: DataFrame | None = None, sco
 
     Keys come from the record as it was before filling. The own file is asked
     by code and then by name and model before the library is asked.
+
+    The records are written once, with a number, and serve all lookups: one aggregate gives the values that are
+    unambiguous per code and per name and model, in a file and in the library, one join brings all that a record asks
+    for, one aggregate puts them side by side. Records that lack nothing ask nothing.
     """
+    records = written(records.withColumn("__id", F.monotonically_increasing_id()))
     code, name, model = (_token_or_null(c) for c in ("device_code", "device_name", "device_model"))
     empty = {v: _filled(v).isNull() for v in _VALUES}
     by_code = F.when(empty["device_name"] | empty["device_model"] | empty["manufacturer"], code)
-    by_name = F.when(empty["manufacturer"] & model.isNotNull(), name)
-    salt = F.struct(*[F.col(c) for c in ("file_id", "sheet", "row_idx") if c in records.columns])
-    out = records.withColumns({"__code": by_code, "__name": by_name, "__model": F.when(by_name.isNotNull(), model)})
-    sources = [("p", records, [scope])] + ([("f", library, [])] if library is not None else [])
-    for tag, source, keys in sources:
-        scoped = {k: F.col(k) for k in keys}
-        out = lookup_join(
-            out, code_lookup(source, keys), {**scoped, "code": F.col("__code")},
-            {v: f"__{tag}_{v}" for v in _VALUES}, salt)
-        out = lookup_join(
-            out, pair_lookup(source, keys), {**scoped, "name": F.col("__name"), "model": F.col("__model")},
-            {"manufacturer": f"__{tag}_pair"}, salt)
-    tags = [t for t, _, _ in sources]
+    by_name = F.when(empty["manufacturer"], name)
+    probes = {"file code": composite(F.col(scope), by_code), "file pair": composite(F.col(scope), by_name, model)}
+    sources = unique_entries(records, [scope], ("file code", "file pair"))
+    if library is not None:
+        probes |= {"library code": by_code, "library pair": composite(by_name, model)}
+        sources = sources.unionByName(unique_entries(library, [], ("library code", "library pair")))
+    entries = unique_values(sources, ["which", "key"], _VALUES)
+    found = {f"__{which}_{v}": F.max(F.when(F.col("which") == which, F.col(v))) for which in probes for v in _VALUES
+             if v == "manufacturer" or which.endswith("code")}
+    out = lookup_many(records, "__id", keyed(records, probes, {"row": F.col("__id")}), entries, found)
     return out.withColumns({
-        "device_name": F.coalesce(_filled("device_name"), *[F.col(f"__{t}_device_name") for t in tags]),
-        "device_model": F.coalesce(_filled("device_model"), *[F.col(f"__{t}_device_model") for t in tags]),
-        "manufacturer": F.coalesce(
-            _filled("manufacturer"), *[F.col(c) for t in tags for c in (f"__{t}_manufacturer", f"__{t}_pair")]),
-    }).select(*records.columns)
+        v: F.coalesce(_filled(v), *[F.col(f"__{which}_{v}") for which in probes if f"__{which}_{v}" in found]) for v in _VALUES
+    }).select(*[c for c in records.columns if c != "__id"])
 
 
 # --- catalogue --------------------------------------------------------------
@@ -205,14 +199,14 @@ def count_measurement_items(count: Column, items: Column) -> Column:
     return F.when(stated > 0, stated).otherwise(lines)
 
 
-def batch_summary(records: DataFrame, error: str = "error", generated: str | None = None) -> DataFrame:
-    """Total, valid, skipped (and generated) counts."""
+def batch_summary(records: DataFrame, error: str = "error", generated: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Total, valid, skipped (and generated) counts, of all records or per key."""
     bad = F.col(error).isNotNull() & (F.col(error) != "")
     counts = [
         F.count("*").alias("total_rows"), F.count_if(~bad).alias("valid_rows"), F.count_if(bad).alias("skipped_rows")]
     if generated:
         counts.append(F.count_if(F.col(generated)).alias("generated_rows"))
-    return records.agg(*counts)
+    return records.groupBy(*by or []).agg(*counts)
 
 
 def first_errors(records: DataFrame, order: list[str], error: str = "error", limit: int = 200) -> DataFrame:

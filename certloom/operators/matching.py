@@ -13,9 +13,9 @@ from certloom import vocab
 from certloom.functions import text as tx
 from certloom.functions.text import compact, let, match_text, squeeze, text
 from certloom.operators.extract import _first
-from certloom.operators.lookups import contains_join, lookup_join
+from certloom.operators.lookups import composite, keyed, lookup_join, lookup_many, pattern_hits
 from certloom.operators.ordered import first_per_key, top_per_key
-from certloom.session import cut_lineage
+from certloom.session import written
 from certloom.shipping import by_value
 
 by_value(__name__)
@@ -117,6 +117,37 @@ def name_hints(device_name: Column, body: Column, file_name: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(every, name_hint)))
 
 
+def template_entries(templates: DataFrame) -> DataFrame:
+    """(which, key, lo, hi, plain_lo, plain_hi): what templates are known by, one row per key.
+
+    which: 'template' (the name itself), 'template code' (a code in it) or 'core' (its core name). lo and hi are the
+    first and the last name of a key, plain_lo and plain_hi those of names that are no check records.
+    """
+    name = F.col("template_name")
+    keys = {"template": name, "template code": template_codes(name), "core": F.nullif(core_name(full_name(name)), F.lit(""))}
+    plain = F.when(~name.contains("核查记录"), name)
+    rows = keyed(templates.select("template_name"), keys, {"name": name, "plain": plain})
+    return rows.groupBy("which", "key").agg(
+        F.min("name").alias("lo"), F.max("name").alias("hi"), F.min("plain").alias("plain_lo"), F.max("plain").alias("plain_hi"))
+
+
+def hint_keys(hints: Column) -> Column:
+    """Core and full names of all hints."""
+    fulls = F.transform(hints, full_name)
+    return F.array_distinct(F.filter(F.flatten(F.transform(fulls, lambda f: F.array(core_name(f), f))), lambda k: k != ""))
+
+
+def _only(which: str) -> dict[str, Column]:
+    """Bounds of the templates that a record meets by one kind of key."""
+    here = F.col("which") == which
+    return {f"__{end}": f(F.when(here, F.col(end))) for end, f in (("lo", F.min), ("hi", F.max), ("plain_lo", F.min), ("plain_hi", F.max))}
+
+
+def _by_name() -> Column:
+    """The only template, else the only one that is no check record."""
+    return F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).when(F.col("__plain_lo") == F.col("__plain_hi"), F.col("__plain_lo"))
+
+
 def match_by_name(
     records: DataFrame, templates: DataFrame, record_id: str, hints: Column, out: str = "by_name",
 ) -> DataFrame:
@@ -125,23 +156,45 @@ def match_by_name(
     An equi-join on canonical names. Per core name at most one template can
     win, so templates are reduced to one row per core before the join.
     """
-    core = core_name(full_name(F.col("template_name")))
-    check = F.col("template_name").contains("核查记录")
-    named = templates.select("template_name", core.alias("core"), check.alias("check")).where("core <> ''").distinct()
-    winner = named.groupBy("core").agg(
-        F.min("template_name").alias("lo"), F.max("template_name").alias("hi"),
-        F.min(F.when(~F.col("check"), F.col("template_name"))).alias("plain_lo"),
-        F.max(F.when(~F.col("check"), F.col("template_name"))).alias("plain_hi"))
-    fulls = F.transform(hints, full_name)
-    keys = F.array_distinct(F.filter(
-        F.flatten(F.transform(fulls, lambda f: F.array(core_name(f), f))), lambda k: k != ""))
-    hinted = records.select(F.col(record_id).alias("__id"), F.explode(keys).alias("core"))
-    found = hinted.join(winner, "core").groupBy("__id").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plain_lo").alias("plain_lo"),
-        F.max("plain_hi").alias("plain_hi"))
-    picked = found.select("__id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(
-        F.col("plain_lo") == F.col("plain_hi"), F.col("plain_lo")).alias(out))
-    return records.join(picked, records[record_id] == picked["__id"], "left").drop("__id")
+    probes = keyed(records, {"core": hint_keys(hints)}, {"row": F.col(record_id)})
+    return lookup_many(records, record_id, probes, template_entries(templates), _only("core")).select(
+        *records.columns, _by_name().alias(out))
+
+
+_FEEDBACK_KINDS = ["code and name", "code of unnamed", "code", "name of uncoded", "name", "alias"]
+
+
+def feedback_entries(feedback: DataFrame) -> DataFrame:
+    """(which, key, best): the newest learned entry per code, name, both, and alias."""
+    rows = feedback.select(
+        F.nullif(match_text("device_name"), F.lit("")).alias("n"), F.nullif(tx.code_norm("device_code"), F.lit("")).alias("c"),
+        F.struct(F.struct("updated_at", "id").alias("rank"), "template_name").alias("best"),
+        F.filter(F.transform("source_aliases", match_text), lambda a: F.length(a) >= 2).alias("aliases"))
+    n, c = F.col("n"), F.col("c")
+    keys = [composite(c, n), F.when(n.isNull(), c), c, F.when(c.isNull(), n), n, F.col("aliases")]
+    return keyed(rows, dict(zip(_FEEDBACK_KINDS, keys, strict=True)), {"best": F.col("best")}).groupBy("which", "key").agg(F.max("best").alias("best"))
+
+
+def feedback_probes(name: Column, code: Column) -> dict[str, Column]:
+    """What a record with this name and code asks for. An entry that differs on a side both have is out."""
+    n, c = F.nullif(match_text(name), F.lit("")), F.nullif(tx.code_norm(code), F.lit(""))
+    keys = [composite(c, n), F.when(n.isNotNull(), c), F.when(n.isNull(), c), F.when(c.isNotNull(), n), F.when(c.isNull(), n)]
+    return dict(zip(_FEEDBACK_KINDS[:5], keys, strict=True))
+
+
+def alias_hits(records: DataFrame, record_id: str, name: Column, code: Column, source: Column, entries: DataFrame) -> DataFrame:
+    """(row, which, best) of records without any identity for each learned alias in their text."""
+    unnamed = records.where((match_text(name) == "") & (tx.code_norm(code) == ""))
+    hits = pattern_hits(unnamed, record_id, source, entries.where("which = 'alias'"), "key", ["best"])
+    return hits.select(F.col(record_id).alias("row"), F.lit("alias").alias("which"), "best")
+
+
+def _newest() -> dict[str, Column]:
+    return {f"__{kind}": F.max(F.when(F.col("which") == kind, F.col("best")))["template_name"] for kind in _FEEDBACK_KINDS}
+
+
+def _by_feedback() -> Column:
+    return F.coalesce(*[F.col(f"__{kind}") for kind in _FEEDBACK_KINDS])
 
 
 def match_by_feedback(
@@ -155,39 +208,13 @@ def match_by_feedback(
     10. Ties go to the newest entry. Entries: (id, updated_at, template_name,
     device_name, device_code, source_aliases).
 
-    Every case is an equi-join with a lookup that holds the one entry that can
-    win for its key, so many entries or records of one device stay cheap.
+    Every case is a key of one lookup that holds the one entry that can win for it, so many entries or records of
+    one device stay cheap; aliases are found by one pass over the texts of records that have no identity.
     """
-    entries = feedback.select(
-        F.nullif(match_text("device_name"), F.lit("")).alias("name"),
-        F.nullif(tx.code_norm("device_code"), F.lit("")).alias("code"),
-        F.struct("updated_at", "id").alias("rank"), "template_name", "source_aliases")
-    n, c = F.nullif(match_text(name), F.lit("")), F.nullif(tx.code_norm(code), F.lit(""))
-
-    def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.max_by("template_name", "rank").alias("t"))
-
-    salt = F.col(record_id)
-    step = records.withColumns({"__n": n, "__c": c})
-    no_name, no_code = F.col("name").isNull(), F.col("code").isNull()
-    cases = [
-        ("b1", newest(entries.where(~no_name & ~no_code), ["code", "name"]), {"code": F.col("__c"), "name": F.col("__n")}),
-        ("b2", newest(entries.where(no_name & ~no_code), ["code"]), {"code": F.when(F.col("__n").isNotNull(), F.col("__c"))}),
-        ("b3", newest(entries.where(~no_code), ["code"]), {"code": F.when(F.col("__n").isNull(), F.col("__c"))}),
-        ("b4", newest(entries.where(no_code & ~no_name), ["name"]), {"name": F.when(F.col("__c").isNotNull(), F.col("__n"))}),
-        ("b5", newest(entries.where(~no_name), ["name"]), {"name": F.when(F.col("__c").isNull(), F.col("__n"))}),
-    ]
-    for tag, lookup, on in cases:
-        step = lookup_join(step, lookup, on, {"t": f"__{tag}"}, salt)
-    aliases = entries.select("rank", "template_name", F.explode("source_aliases").alias("a")).select(
-        "rank", "template_name", match_text("a").alias("alias")).where(F.length("alias") >= 2)
-    newest_alias = aliases.groupBy("alias").agg(F.max(F.struct("rank", "template_name")).alias("best"))
-    unnamed = step.where(F.col("__n").isNull() & F.col("__c").isNull())
-    hits = contains_join(unnamed, record_id, source, newest_alias, "alias", ["best"])
-    by_alias = hits.groupBy(F.col(record_id).alias("__id")).agg(F.max("best")["template_name"].alias("__b6"))
-    joined = step.join(by_alias, step[record_id] == by_alias["__id"], "left")
-    best = F.coalesce(*[F.col(f"__b{i}") for i in range(1, 7)])
-    return joined.select(*records.columns, best.alias(out))
+    entries = written(feedback_entries(feedback))
+    probes = keyed(records, feedback_probes(name, code), {"row": F.col(record_id)})
+    hits = alias_hits(records, record_id, name, code, source, entries)
+    return lookup_many(records, record_id, probes, entries, _newest(), hits).select(*records.columns, _by_feedback().alias(out))
 
 
 def blank_template(templates: DataFrame) -> DataFrame:
@@ -209,31 +236,38 @@ def match_template(
     start with the learned entries, of which only those count whose template
     exists. Then names, the default, the blank form.
     """
+    name, code = F.col("device_name"), F.col("device_code")
     blank = blank_template(templates).scalar()
     source = search_text(F.col("file_name"), F.col("raw_text"))
     existing = templates.select("template_name").distinct()
     feedback = feedback.withColumn("template_name", tx.strip("template_name")).join(existing, "template_name", "left_semi")
-    step = match_by_feedback(
-        records, feedback, record_id, F.col("device_name"), F.col("device_code"), source)
-    step = match_by_name(
-        step, templates, record_id, name_hints(F.col("device_name"), F.col("raw_text"), F.col("file_name")))
-    names = templates.select(F.col("template_name").alias("key"), "template_name").distinct()
-    choices = [("feedback:default", F.col("by_feedback")), ("name:strict", F.col("by_name"))]
+    entries = written(feedback_entries(feedback).unionByName(template_entries(templates), allowMissingColumns=True))
+    explicit = F.nullif(tx.strip("explicit"), F.lit("")) if excel else F.lit(None).cast("string")
+    wanted = feedback_probes(name, code) | {"core": hint_keys(name_hints(name, F.col("raw_text"), F.col("file_name")))}
+    found = _newest() | _only("core")
+    if excel:
+        wanted |= {"template": explicit, "template code": F.replace(tx.template_code(F.col("source_code")), F.lit("-"), F.lit(""))}
+        found |= {f"__{kind} {end}": f(F.when(F.col("which") == kind, F.col(end))) for kind in ("template", "template code") for end, f in (("lo", F.min), ("hi", F.max))}
+    probes = keyed(records, wanted, {"row": F.col(record_id)})
+    step = lookup_many(records, record_id, probes, entries, found, alias_hits(records, record_id, name, code, source, entries))
+    choices = [("feedback:default", _by_feedback()), ("name:strict", _by_name())]
     if excel:
-        step = match_by_code(step, templates, F.col("source_code"), F.col(record_id))
-        choices = [("explicit", F.nullif(tx.strip("explicit"), F.lit(""))), ("code", F.col("by_code")), *choices]
+        by_code = F.when(F.col("__template code lo") == F.col("__template code hi"), F.col("__template code lo"))
+        choices = [("explicit", explicit), ("code", by_code), *choices]
     if default:
         choices.append(("task:export_default", F.lit(default)))
     choices.append(("fallback:blank", blank))
     chosen = F.coalesce(*[c for _, c in choices])
     reason = F.coalesce(*[F.when(c.isNotNull(), r) for r, c in choices])
-    out = step.select(*records.columns, chosen.alias("template_name"), reason.alias("matched_by"))
+    out = [*[F.col(c) for c in records.columns], chosen.alias("template_name"), reason.alias("matched_by")]
     if not excel:
-        return out
-    known = lookup_join(out, names, {"key": F.col("template_name")}, {"template_name": "__known"}, F.col(record_id))
-    error = F.when(F.col("template_name").isNull(), "缺少模板信息").when(
-        F.col("__known").isNull(), F.concat(F.lit("模板不存在："), F.col("template_name")))
-    return known.select(*out.columns, error.alias("error"))
+        return step.select(*out)
+    # all other choices are names of templates
+    known = F.when(explicit.isNotNull(), F.col("__template lo").isNotNull())
+    if default:
+        known = known.when(reason == "task:export_default", templates.where(F.col("template_name") == default).exists())
+    error = F.when(chosen.isNull(), "缺少模板信息").when(~known, F.concat(F.lit("模板不存在："), chosen))
+    return step.select(*out, error.alias("error"))
 
 
 # --- requirement lines ------------------------------------------------------
@@ -565,35 +599,30 @@ def _telling(key: Column) -> Column:
 def _entry_of(rows: DataFrame) -> DataFrame:
     """(at, root): which earlier row's entry a row updates, itself if none's.
 
-    A correction goes to the first row with its code; without a code to the
-    first with its name; else to the first that shares an alias. Each case is
-    an equi-join with one row per key. Chains end at their first row: pointers
-    are doubled, so the rounds grow with the logarithm of a chain's length.
+    A correction goes to the first row with its code; without a code to the first with its name; else to the first
+    that shares an alias. One aggregate holds the first row of every code, name and alias, one join brings each row
+    to its own. Only rows that go to another row are followed further: chains end at their first row, pointers are
+    doubled, so the rounds grow with the logarithm of the longest chain and read the moving rows alone.
     """
     code, name = F.nullif(tx.code_norm("device_code"), F.lit("")), F.nullif(match_text("device_name"), F.lit(""))
-    keyed = rows.select("at", code.alias("code"), name.alias("name"), "source_aliases")
-
-    def first(key: str) -> DataFrame:
-        return keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("at").alias("first"))
-
-    alias = keyed.select("at", F.explode("source_aliases").alias("alias")).select("at", match_text("alias").alias("alias")).where(_telling(F.col("alias")))
-    first_alias = alias.groupBy("alias").agg(F.min("at").alias("first"))
-    shared = alias.join(first_alias, "alias").groupBy("at").agg(F.min("first").alias("by_alias"))
-    step = lookup_join(keyed, first("code"), {"code": F.col("code")}, {"first": "by_code"}, F.col("at"))
-    step = lookup_join(step, first("name"), {"name": F.when(F.col("code").isNull(), F.col("name"))}, {"first": "by_name"}, F.col("at"))
-    step = step.join(shared, "at", "left")
-    earlier = [F.when(F.col(c) < F.col("at"), F.col(c)) for c in ("by_code", "by_name", "by_alias")]
-    learned = F.col("at.src") == 0  # an entry that is learned already stays one
-    now = cut_lineage(step.select("at", F.when(learned, F.col("at")).otherwise(F.coalesce(*earlier, "at")).alias("root")))
+    aliases = F.filter(F.transform("source_aliases", match_text), _telling)
+    at = {"row": F.col("at")}
+    first = keyed(rows, {"code": code, "name": name, "alias": aliases}, at).groupBy("which", "key").agg(F.min("row").alias("first"))
+    probes = keyed(rows.where("at.src = 1"), {"code": code, "name": F.when(code.isNull(), name), "alias": aliases}, at)
+    kinds = ["code", "name", "alias"]
+    found = {f"__{kind}": F.min(F.when(F.col("which") == kind, F.col("first"))) for kind in kinds}
+    step = lookup_many(rows.select("at"), "at", probes, first, found)
+    root = F.coalesce(*[F.when(F.col(f"__{kind}") < F.col("at"), F.col(f"__{kind}")) for kind in kinds])
+    moving = written(step.select("at", root.alias("root")).where("root IS NOT NULL"))
     while True:
-        up = now.select(F.col("at").alias("root"), F.col("root").alias("above")).where("root <> above")
-        after = cut_lineage(now.join(up, "root", "left").select("at", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        further = moving.select(F.col("at").alias("root"), F.col("root").alias("further"))
+        after = written(moving.join(further, "root", "left").select("at", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        moving = after.select("at", "root")
         if after.where("moved").isEmpty():
-            return after.select("at", "root")
-        now = after.select("at", "root")
+            return moving
 
 
-def learn_feedback(existing: DataFrame, corrections: DataFrame) -> DataFrame:
+def learn_feedback(existing: DataFrame, corrections: DataFrame, max_aliases: int | None = None) -> DataFrame:
     """Learned entries after a batch of corrections; the newest template of an entry wins.
 
     existing and corrections: (id, updated_at, template_name, device_name,
@@ -601,22 +630,23 @@ def learn_feedback(existing: DataFrame, corrections: DataFrame) -> DataFrame:
     code, without a code the one with its name, else one that shares an alias,
     be it learned already or by an earlier correction of the batch. The entry
     keeps the id of its first row. Corrections without a template or an alias
-    teach nothing. Aliases are ranked per entry by first use and cut to 20 by
+    teach nothing. Aliases are ranked per entry by first use; all are kept, or the first `max_aliases`, by
     a top-n that every task applies before the shuffle.
     """
     both = existing.select(F.lit(0).alias("src"), "*").unionByName(corrections.select(F.lit(1).alias("src"), "*"))
-    rows = both.withColumn("at", F.struct("src", "updated_at", "id")).where(
-        (F.col("src") == 0) | ((tx.strip("template_name") != "") & F.exists("source_aliases", lambda a: match_text(a) != "")))
-    keyed = rows.join(_entry_of(rows), "at").withColumnRenamed("root", "identity")
-    last = keyed.groupBy("identity").agg(
+    rows = written(both.withColumn("at", F.struct("src", "updated_at", "id")).where(
+        (F.col("src") == 0) | ((tx.strip("template_name") != "") & F.exists("source_aliases", lambda a: match_text(a) != ""))))
+    keyed_rows = rows.join(_entry_of(rows), "at", "left").withColumn("identity", F.coalesce("root", "at"))
+    last = keyed_rows.groupBy("identity").agg(
         F.max_by(F.struct("updated_at", "template_name", "device_name", "device_code"), "at").alias("n"),
         F.min_by("id", "at").alias("id"))
-    aliases = keyed.select("identity", "at", F.posexplode("source_aliases").alias("pos", "alias")).select(
+    aliases = keyed_rows.select("identity", "at", F.posexplode("source_aliases").alias("pos", "alias")).select(
         "identity", F.struct("at", "pos").alias("used"), tx.strip("alias").alias("alias"), match_text("alias").alias("key"))
-    distinct = first_per_key(aliases.where(_telling(F.col("key"))), ["identity", "key"], F.col("used"), ["used", "alias"])
-    top = top_per_key(distinct, ["identity"], [F.col("used"), F.col("key")], 20, "rank")
-    listed = top.groupBy("identity").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "alias"))), lambda x: x["alias"]).alias("source_aliases"))
+    kept = first_per_key(aliases.where(_telling(F.col("key"))), ["identity", "key"], F.col("used"), ["used", "alias"])
+    if max_aliases is not None:
+        kept = top_per_key(kept, ["identity"], [F.col("used"), F.col("key")], max_aliases)
+    listed = kept.groupBy("identity").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("used", "key", "alias"))), lambda x: x["alias"]).alias("source_aliases"))
     return last.join(listed, "identity", "left").select(
         "id", "n.updated_at", "n.template_name", "n.device_name", "n.device_code",
         match_text("n.device_name").alias("device_name_norm"), tx.code_norm("n.device_code").alias("device_code_norm"),

@@ -141,21 +141,24 @@ def record_name(certificate: Column, code: Column, name: Column, row_idx: Column
     return file_name(F.coalesce(*filled, fallback))
 
 
-def preview_sheet(rows: DataFrame, max_rows: int = 80, max_cols: int = 20) -> DataFrame:
-    """First rows below the header, with title, total and truncation flag per sheet."""
-    headers = detect_header_row(rows)
-    cut = rows.join(headers, SHEET).withColumn("cells", F.slice("cells", 1, max_cols))
+def preview_sheet(rows: DataFrame, max_rows: int = 80, max_cols: int | None = None) -> DataFrame:
+    """First rows below the header, with title, total and truncation flag per sheet.
+
+    max_rows: rows shown of each sheet; max_cols: columns shown, all if None. The rows are read three times: for the
+    header, for title and total by one aggregate, and for the rows shown.
+    """
+    def narrow(c: str) -> Column:
+        return F.slice(c, 1, max_cols) if max_cols else F.col(c)
+
+    cut = rows.join(detect_header_row(rows), SHEET).withColumns({"cells": narrow("cells"), "header": narrow("header")})
     filled = cut.withColumn("n", F.size(F.filter("cells", lambda x: x != ""))).where(F.col("n") > 0)
-    above = filled.where(F.col("row_idx") < F.col("header_idx"))
+    above, below = F.col("row_idx") < F.col("header_idx"), F.col("row_idx") > F.col("header_idx")
     only = F.element_at(F.filter("cells", lambda x: x != ""), 1)
-    titles = above.where((F.col("n") == 1) & (F.length(only) >= 8)).groupBy(*SHEET).agg(
-        F.min_by(only, F.col("row_idx")).alias("title"))
-    below = filled.where(F.col("row_idx") > F.col("header_idx"))
-    totals = below.groupBy(*SHEET).agg(F.count("*").alias("total_rows"))
-    shown = top_per_key(below.select(*SHEET, "row_idx", "header", "cells"), SHEET, [F.col("row_idx")], max_rows)
-    names = F.transform(F.slice("header", 1, max_cols), lambda x, i: F.when(x != "", x).otherwise(
-        F.concat(F.lit("列"), (i + 1).cast("string"))))
-    return shown.join(totals, SHEET).join(titles, SHEET, "left").select(
+    title = F.when(above & (F.col("n") == 1) & (F.length(only) >= 8), F.col("row_idx"))
+    facts = filled.groupBy(*SHEET).agg(F.min_by(only, title).alias("title"), F.count_if(below).alias("total_rows"))
+    shown = top_per_key(filled.where(below).select(*SHEET, "row_idx", "header", "cells"), SHEET, [F.col("row_idx")], max_rows)
+    names = F.transform("header", lambda x, i: F.when(x != "", x).otherwise(F.concat(F.lit("列"), (i + 1).cast("string"))))
+    return shown.join(facts, SHEET).select(
         *SHEET, F.coalesce("title", F.lit("")).alias("title"), names.alias("headers"),
         (F.col("row_idx") + 1).alias("row_number"), "cells", "total_rows",
         (F.col("total_rows") > max_rows).alias("truncated"))

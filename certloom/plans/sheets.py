@@ -1,4 +1,4 @@
-"""Sheets made of the part table: one file per brand, messy on purpose."""
+"""Sheets made of the part table: one file per brand, messy on purpose; written once per query, as sheets are read from files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from certloom.operators import enrich, sheets
 from certloom.plans import query, table
+from certloom.session import written
 
 _CN = ["序号", "设备名称", "规格型号", "设备编号", "生产厂商", "备注"]
 _EN = ["no", "name", "model", "code", "manufacturer", "remark"]
@@ -35,7 +36,7 @@ def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
     head = brands.select(
         F.col("p_brand").alias("file_id"), F.lit("s1").alias("sheet"), F.lit(1).cast("long").alias("row_idx"),
         F.when(F.col("odd") == 1, F.array(*map(F.lit, _CN))).otherwise(F.array(*map(F.lit, _EN))).alias("cells"))
-    return title.unionByName(head).unionByName(body)
+    return written(title.unionByName(head).unionByName(body))
 
 
 _TYPED = """
@@ -203,10 +204,7 @@ SELECT file_id, count(*) AS total_rows, count(*) FILTER (WHERE summary = '') AS
   count(*) FILTER (WHERE summary <> '') AS skipped_rows FROM checked GROUP BY file_id""")
 def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Which records of each file are complete after filling what is unambiguous."""
-    checked = validate_records(spark, sf)
-    return checked.groupBy("file_id").agg(
-        F.count("*").alias("total_rows"), F.count_if("ok").alias("valid_rows"),
-        F.count_if(~F.col("ok")).alias("skipped_rows"))
+    return enrich.batch_summary(validate_records(spark, sf), "summary", by=["file_id"])
 
 
 @query("first_errors", "WITH " + _CHECKED + """

@@ -61,5 +61,5 @@ def test_long_texts_are_searched_without_copies(spark):
     words = " ".join(f"w{i * 7919 % 100_003}" for i in range(20_000))
     texts = spark.createDataFrame([(1, words), (2, "none"), (3, "")], "row_id int, t string")
     needles = spark.createDataFrame([("w0 w7919", 1), ("no", 2), ("absent", 3)], "needle string, n int")
-    got = lookups.contains_join(texts, "row_id", F.col("t"), needles, "needle", ["n"]).collect()
+    got = lookups.pattern_hits(texts, "row_id", F.col("t"), needles, "needle", ["n"]).collect()
     assert sorted((r["row_id"], r["n"]) for r in got) == [(1, 1), (2, 2)]

@@ -55,8 +55,8 @@ def test_lookup_join_spreads_missing_keys(spark, rows):
     assert out.where("found = 1").count() == rows.where("k = 'hot'").count()
 
 
-def test_contains_join(spark):
+def test_pattern_hits(spark):
     texts = spark.createDataFrame([(1, "局部放电测试系统x"), (2, "ab"), (3, "")], "id int, t string")
     words = spark.createDataFrame([("局部放电",), ("b",), ("放电测试系统",), ("zz",), ("",)], "w string")
-    out = lookups.contains_join(texts, "id", F.col("t"), words, "w", [])
+    out = lookups.pattern_hits(texts, "id", F.col("t"), words, "w", [])
     assert {(r.id, r.w) for r in out.collect()} == {(1, "局部放电"), (1, "放电测试系统"), (2, "b")}
