@@ -121,6 +121,14 @@ def first_line(lines: Column, pattern: str) -> Column:
     return _first(F.filter(lines, lambda x: x.rlike("(?i)" + pattern)))
 
 
+# How far behind a label a date is looked for, its form, and what the match has to hold.
+DATE_WINDOWS = [
+    (180, r"(\d{4})[./-](\d{1,2})[./-](\d{1,2})", r"\d"),
+    (260, r"(\d{4})\D{0,20}(?:年|Year)\D{0,20}(\d{1,2})\D{0,20}(?:月|Month)\D{0,20}(\d{1,2})\D{0,20}(?:日|Day)", r"\d"),
+    (180, r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})", r"年|月|日|year|month|day"),
+]
+
+
 # --- blocks -----------------------------------------------------------------
 
 
@@ -187,27 +195,19 @@ def environment_values(source: Column) -> Column:
 
 def labelled_date(source: Column, lines: Column, label: str) -> Column:
     """Date on the label's line, else in the windows after the label."""
-    on_line = F.transform(lines, lambda x: F.when(
-        F.contains(x, F.lit(label)), dates.parse_date_cn(clean_value(x), strict=False, two_digit_year=True)))
-    found = [_first(F.array_compact(on_line))]
     exact = "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in label)
     spaced = r"\s*".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in label)
-    unit = r"\D{0,20}(?:%s)\D{0,20}"
-    marked = (
-        r"(\d{4})" + unit % "年|Year" + r"(\d{1,2})" + unit % "月|Month" + r"(\d{1,2})" + r"\D{0,20}(?:日|Day)")
+    found = []
     for name in dict.fromkeys((exact, spaced)):
-        for window, body, needs_unit in (
-            (180, r"(\d{4})[./-](\d{1,2})[./-](\d{1,2})", False), (260, marked, False),
-            (180, r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})", True)):
+        for window, body, unit in DATE_WINDOWS:
             hit = F.regexp_extract(source, rf"(?i){name}[\s\S]{{0,{window}}}?{body}", 0)
-            parts = [F.regexp_extract(hit, f"(?i){body}", n) for n in (1, 2, 3)]
-            value = dates.parse_date_cn(F.concat_ws("-", *parts), strict=False)
-            ok = hit != ""
-            if needs_unit:
-                ok = ok & hit.rlike("(?i)年|月|日|year|month|day")
-            found.append(F.when(ok, value))
+            parts = F.concat_ws("-", *[F.regexp_extract(hit, f"(?i){body}", n) for n in (1, 2, 3)])
+            found.append(F.when(hit.rlike("(?i)" + unit), parts))
+    on_line = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(label))), clean_value)
+    every = F.concat(on_line, F.array_compact(F.array(*found)))
+    parsed = F.transform(every, lambda x: dates.parse_date_cn(x, strict=False, two_digit_year=True))
     # the windows are searched only where the label occurs at all
-    return F.when(source.rlike("(?i)" + spaced), F.coalesce(*found))
+    return F.when(source.rlike("(?i)" + spaced), _first(F.array_compact(parsed)))
 
 
 def standard_items(lines: Column, strict: bool = True) -> Column:

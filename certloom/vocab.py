@@ -109,6 +109,94 @@ FIELD_PATTERNS: dict[str, list[str]] = {
     "receive_date": [r"(收样日期|Received date)[:：]?\s*(\d{4}[^\n]{0,12})"],
     "calibration_date": [r"(校准日期|Date for calibration)[:：]?\s*(\d{4}[^\n]{0,12})"],
 }
+
+# Where a field is looked for once labels and FIELD_PATTERNS gave nothing, in this order.
+# kind, then its arguments: 'kept' (what is there already), 'good' (the same unless of low quality), 'text' (pattern over
+# the text, first group), 'near' (labels, then a pattern on that line or the two below), 'date' (label),
+# 'environment' (value), 'line' (pattern that a whole line holds), 'model line', 'model token', 'maker line', 'code line',
+# 'first line', 'joined' (an array field), 'model'.
+FIELD_RULES: list[tuple[str, int, str, tuple[str, ...]]] = [
+    ("device_name", 1, "kept", ()),
+    ("device_name", 1, "text", (r"(?:设备名称|气瓶名称|仪器名称)[:：]?\s*([^\n]+)",)),
+    ("device_name", 1, "text", (r"(局放仪|局部放电[^\n]{0,20}(?:系统|仪|装置))",)),
+    ("device_name", 2, "kept", ()),
+    ("device_name", 2, "line", ("系统|设备|试验|检测|装置|平台|仪器|System|Equipment",)),
+    ("device_name", 2, "first line", ()),
+    ("device_model", 1, "kept", ()),
+    ("device_model", 1, "model line", (r"型号\s*/\s*编号|型号规格|型号", r"([A-Za-z][A-Za-z0-9\- ℃]{1,30}:[A-Za-z0-9\-]{4,})")),
+    ("device_model", 1, "text", (r"(?:型号/编号|型号规格|型号)[:：]?\s*([A-Za-z0-9\-_./ ]+)",)),
+    ("device_model", 1, "text", (r"(?:Type\s*model|Type)[:：]?\s*([A-Za-z0-9\-_./ ]{3,50})",)),
+    ("device_model", 1, "near", ("型号", "Type", r"([A-Za-z][A-Za-z0-9\-_/\. ]{2,40})")),
+    ("device_model", 2, "kept", ()),
+    ("device_model", 2, "model token", (r"([A-Za-z0-9][A-Za-z0-9\-_/]{3,})",)),
+    ("device_code", 1, "kept", ()),
+    ("device_code", 1, "text", (r"(?:型号/编号)[:：]?\s*[A-Za-z0-9\-_./ ]*[:：]?\s*([A-Za-z0-9\-_./]+)",)),
+    ("device_code", 1, "text", (r"(?:设备编号|气瓶编号|编号)[:：]?\s*([A-Za-z0-9\-_./]+)",)),
+    ("device_code", 1, "text", (r"(?:Number|Serial No\.?)[:：]?\s*([A-Za-z0-9\-_./]+)",)),
+    ("device_code", 1, "near", ("编号", "Number", "Serial", r"([A-Za-z0-9\-_./]{4,})")),
+    ("device_code", 3, "kept", ()),
+    ("device_code", 3, "code line", (r"设备编号|编号|出厂编号|Serial|No\.?",)),
+    ("unit_name", 1, "kept", ()),
+    ("unit_name", 1, "text", (r"单位名称[:：]?\s*([^\n]+)",)),
+    ("unit_name", 1, "text", (r"委托单位[:：]?\s*([^\n]+)",)),
+    ("address", 1, "kept", ()),
+    ("address", 1, "text", (r"地址[:：]?\s*([^\n]+)",)),
+    ("address", 1, "text", (r"地点[:：]?\s*([^\n]+)",)),
+    ("location", 1, "kept", ()),
+    ("location", 1, "environment", ("location",)),
+    ("temperature", 1, "environment", ("temperature",)),
+    ("humidity", 1, "environment", ("humidity",)),
+    ("power_rating", 1, "text", (r"电源/功率[:：]?\s*([^\n]+)",)),
+    ("power_rating", 1, "text", (r"电源功率[:：]?\s*([^\n]+)",)),
+    ("power_rating", 1, "text", (r"(?:输出容量|额定功率|Rated power)\s*[:：]?\s*([0-9]+(?:\.[0-9]+)?\s*(?:kVA|KVA|kW|KW|W)?)",)),
+    ("power_rating", 1, "near", ("输出容量", "额定功率", "Rated power", r"([0-9]+(?:\.[0-9]+)?\s*(?:kVA|KVA|kW|KW|W))")),
+    ("manufacture_date", 1, "date", ("制造日期",)),
+    ("manufacture_date", 1, "date", ("生产日期",)),
+    ("manufacture_date", 1, "date", ("制造年月",)),
+    ("manufacture_date", 1, "date", ("Date of manufacture",)),
+    ("contact_info", 1, "kept", ()),
+    ("contact_info", 1, "text", (r"联系方式[:：]?\s*([^\n]+)",)),
+    ("contact_info", 1, "text", (r"(电话[:：]?\s*[0-9\- ]{7,})",)),
+    ("manufacturer", 1, "kept", ()),
+    ("manufacturer", 1, "text", (r"(?:生产厂商|制造厂商|厂家|厂商)[:：]?\s*([^\n]+)",)),
+    ("manufacturer", 2, "kept", ()),
+    ("manufacturer", 2, "maker line", (r"公司|有限|厂商|厂家|Manufacturer", r"有限公司|有限责任公司|ELECTRIX|TECHNOLOGY\s*CO\.?\.?\s*LTD")),
+    ("certificate_no", 1, "kept", ()),
+    ("certificate_no", 1, "text", (r"缆专检号[:：]?\s*([A-Za-z0-9\-]+)",)),
+    ("certificate_no", 1, "text", (r"Certificate\s*series\s*number[:：]?\s*([A-Za-z0-9\-]+)",)),
+    ("client_name", 1, "kept", ()),
+    ("client_name", 1, "text", (r"委托单位[:：]?\s*([^\n]+)",)),
+    ("client_name", 1, "text", (r"Client[:：]?\s*([^\n]+)",)),
+    ("receive_date", 1, "good", ()),
+    ("receive_date", 1, "date", ("收样日期",)),
+    ("calibration_date", 1, "good", ()),
+    ("calibration_date", 1, "date", ("校准日期",)),
+    ("release_date", 1, "good", ()),
+    ("release_date", 1, "date", ("发布日期",)),
+    ("release_date", 1, "date", ("Issue date",)),
+    ("basis_standard", 2, "kept", ()),
+    ("basis_standard", 2, "joined", ("basis_standard_items",)),
+    ("measurement_items", 2, "joined", ("items",)),
+]
+# Parts of lines that are no value, and lines that name the owner.
+OWNER_LINE = "^(?:单位名称|委托单位|client)"
+MAKER_NOISE = [
+    r"(?i)^(?:生产厂商|制造厂/商|制造厂商|厂家|厂商|Manufacturer)\s*[:：]?\s*", r"https?://\S+", r"(?i)(电话|Tel)[:：]?\s*[0-9\- ]{6,}$",
+]
+COMBINED_LABEL = r"型号\s*/\s*编号"
+# Words of the lines of number series, and of relative uncertainties.
+SERIES_WORDS: dict[str, list[str]] = {
+    "pd_charge_values_pc": ["电荷量", "放电量"],
+    "pd_rise_time_values_ns": ["上升沿"],
+    "pd_pulse_amplitude_values_v": ["脉冲幅值", "波形峰值"],
+}
+UREL_WORDS: dict[str, list[str]] = {
+    "pd_voltage_urel_percent": ["试验电压", "电压"],
+    "pd_scan_time_urel_percent": ["扫描时间", "扫描"],
+    "pd_capacitance_urel_percent": ["电容"],
+    "pd_power_tolerance_urel_percent": ["电流容差", "电源容差", "容差"],
+    "pd_voltage_calibration_urel_percent": ["电压校准", "校准脉冲", "校准"],
+}
 LABEL_VALUE_WORDS = [
     "client", "manufacturer", "instrumentname", "devicename", "equipmentname", "instrumentserialnumber",
     "modelspecification", "modelnumber", "measurementrange", "certificateseriesnumber", "certificate",
