@@ -9,6 +9,11 @@ from certloom.llm.shared import free_name, written
 
 #: Rows of a hot source are dealt to so many parts where the table of rates is too large to be sent along.
 SALTS = 32
+#: A rate is drawn in parts of up to so much: a sum of Poisson variables is one. Copies of a part are numbered in as many.
+PART_RATE = 16.0
+PART_COPIES = 128
+#: Parts of one document that one task draws.
+PARTS_AT_ONCE = 64
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -59,28 +64,43 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     A document of a source with the mean repetition rate r gets Poisson(r) copies:
     the number is the inverse of that distribution at a hash of seed and doc_id, so a
-    rerun or a lost executor gives the same copies. `copy` counts them from 1. Rows
+    rerun or a lost executor gives the same copies. `copy` numbers them from 1. Rows
     are then dealt to tasks and sorted there by a hash of (seed, doc_id, copy).
 
+    A rate above 16 is drawn in equal parts of at most 16, each by a hash of its own; copies of part k are numbered from
+    128 * (k - 1) + 1. The parts of a document with very many are dealt to tasks before its copies are made.
+
     A null source is a source of its own. Rows that share a doc_id (or have none)
     share the number of copies. Empty or null texts are rows like others; an empty
-    table stays empty. All columns are kept; one named as `copy` is an error.
+    table stays empty. All columns are kept; while one is named as `copy` underscores are put before it.
 
     Counting combines map-side, so a hot source is a row per task. The table of
     rates is written first: Spark sends it along if its true size is below the
     broadcast threshold, else it joins by (source, salt).
     """
     taken = docs.columns
-    if copy.lower() in {c.lower() for c in taken}:
-        raise ValueError(f"the column {copy} is there already")
-    name, salt, cdf, n, key = (free_name(taken, x) for x in ("mix_source", "mix_salt", "mix_cdf", "mix_n", "mix_key"))
+    copy = free_name(taken, copy)
+    name, salt, cdf, parts, group, part, n, key = (free_name(taken, x) for x in (
+        "mix_source", "mix_salt", "mix_cdf", "mix_parts", "mix_group", "mix_part", "mix_n", "mix_key"))
+    number = F.ceil(F.col("rate") / PART_RATE).cast("long")
     rates = source_rates(docs, source, weights, total).where("rate > 0").select(
-        F.col("source").alias(name), poisson_cdf(F.col("rate")).alias(cdf), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt + "_r"))
+        F.col("source").alias(name), number.alias(parts), poisson_cdf(F.col("rate") / number).alias(cdf),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt + "_r"))
     rates = written(rates)
     salted = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(SALTS)).cast("int"))
     joined = salted.join(rates, F.col(source).eqNullSafe(F.col(name)) & (F.col(salt) == F.col(salt + "_r")))
-    u = uniform(seed, F.col(doc_id))
-    counted = joined.withColumn(key, u).withColumn(n, F.size(F.filter(F.col(cdf), lambda c: c <= F.col(key)))).where(F.col(n) > 0)
-    copies = counted.select(*taken, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
+    few = joined.where(F.col(parts) <= PARTS_AT_ONCE).withColumn(group, F.lit(0).cast("long"))
+    if rates.where(F.col(parts) > PARTS_AT_ONCE).isEmpty():
+        grouped = few
+    else:
+        groups = F.sequence(F.lit(0).cast("long"), F.floor((F.col(parts) - 1) / PARTS_AT_ONCE))
+        many = joined.where(F.col(parts) > PARTS_AT_ONCE).withColumn(group, F.explode(groups))
+        grouped = few.unionByName(many.repartition(F.xxhash64(doc_id, group)))
+    low = F.col(group) * PARTS_AT_ONCE + 1
+    drawn = grouped.withColumn(part, F.explode(F.sequence(low, F.least(F.col(parts), low + (PARTS_AT_ONCE - 1)))))
+    u = F.when(F.col(part) == 1, uniform(seed, F.col(doc_id))).otherwise(uniform(seed, F.col(doc_id), F.col(part)))
+    counted = drawn.withColumn(key, u).withColumn(n, F.size(F.filter(F.col(cdf), lambda c: c <= F.col(key)))).where(F.col(n) > 0)
+    base = ((F.col(part) - 1) * PART_COPIES).cast("int")
+    copies = counted.select(*taken, F.explode(F.sequence(base + 1, base + F.col(n))).alias(copy))
     order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(copy))
     return copies.withColumn(key, order).repartition(F.col(key)).sortWithinPartitions(key).drop(key)

@@ -47,11 +47,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES_SQL = """
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 spot AS (SELECT doc_id, i, ls[i] AS a, ls[i + 1] AS b, ls[i + 2] AS c
-       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM cut)),
+       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM cut)
+       UNION ALL SELECT doc_id, 1, ls[1], ls[2], NULL FROM cut WHERE len(ls) < 3),
 ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth
-           FROM spot WHERE regexp_matches(a || b || c, '[^ \t\r]')),
+           FROM spot WHERE regexp_matches(concat(a, b, c), '[^ \t\r]')),
 gone AS (SELECT doc_id, list(DISTINCT i + k) AS covered
-         FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM ranked WHERE nth > 1) GROUP BY doc_id)
+         FROM (SELECT doc_id, ls, i, unnest([0, 1, 2]) AS k FROM ranked JOIN cut USING (doc_id) WHERE nth > 1) WHERE i + k <= len(ls) GROUP BY doc_id)
 SELECT cut.doc_id, array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(covered, []), i)), chr(10)) AS text,
        CAST(len(coalesce(covered, [])) AS INTEGER) AS n_removed
 FROM cut LEFT JOIN gone USING (doc_id)
@@ -67,16 +68,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIX_SQL = """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 facts AS (SELECT sum(n) AS total, count(*) AS sources FROM counts),
-rates AS (SELECT source, CAST(total AS DOUBLE) * (CAST(1 AS DOUBLE) / sources) / n AS rate FROM counts, facts),
+whole AS (SELECT source, CAST(total AS DOUBLE) * (CAST(1 AS DOUBLE) / sources) / n AS rate FROM counts, facts),
+rates AS (SELECT source, CAST(ceil(rate / 16) AS BIGINT) AS parts, rate / ceil(rate / 16) AS rate FROM whole),
 cdf AS (SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS p FROM rates
         UNION ALL
         SELECT source, rate, k + 1, log_p + ln(rate / (k + 1)), p + exp(log_p + ln(rate / (k + 1)))
         FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
-drawn AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('mix|' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
-          FROM documents),
-counted AS (SELECT d.doc_id, d.source, d.text, count(*) AS n FROM drawn d JOIN cdf c
+part AS (SELECT doc_id, d.source, text, unnest(range(1, parts + 1)) AS part FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+drawn AS (SELECT doc_id, source, text, part,
+            CAST('0x' || substr(md5('mix|' || doc_id || CASE WHEN part > 1 THEN '|' || part ELSE '' END), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+          FROM part),
+counted AS (SELECT d.doc_id, d.source, d.text, d.part, count(*) AS n FROM drawn d JOIN cdf c
             ON d.source IS NOT DISTINCT FROM c.source AND c.p <= d.u GROUP BY ALL)
-SELECT doc_id, source, text, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM counted
+SELECT doc_id, source, text, CAST(128 * (part - 1) + unnest(range(1, n + 1)) AS INTEGER) AS copy FROM counted
 """
 
 

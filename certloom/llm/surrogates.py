@@ -50,6 +50,11 @@ _LETTERS = {
 }
 
 
+#: After so many attempts a surrogate is drawn from a larger space; after so many the job ends with an error.
+WIDER = 8
+ATTEMPTS = 96
+
+
 @dataclass(frozen=True)
 class Entity:
     start: int
@@ -122,7 +127,7 @@ def detect(text: str) -> list[Entity]:
     if "AKIA" in text or "ASIA" in text:
         add(1, "cloud_key", _CLOUD_KEY, str)
     if "=" in text or ":" in text:
-        add(2, "secret", _SECRET, str, "part")
+        add(2, "secret", _SECRET, lambda s: s if any(map(str.isalnum, s)) else "", "part")  # not of marks alone, as ******
     if re.search("[0-9]{2}", text):
         add(3, "iban", _IBAN, lambda s: (c := s.replace(" ", "")) and (c if iban_digits(c[:2], c[4:]) == c[2:4] else ""))
         add(4, "card", _CARD, lambda s: (d := digits(s)) and (d if luhn_digit(d[:-1]) == d[-1] else ""))
@@ -159,11 +164,28 @@ def _pick(stream: Iterator[int], choices) -> str:
     return choices[(next(stream) * 256 + next(stream)) % len(choices)]
 
 
-def _like(stream: Iterator[int], text: str) -> str:
-    """Digits for digits, letters for letters (hexadecimal texts stay so), all else as it is."""
+def _alike(c: str) -> str:
+    """All letters (of the same case) or digits of a character's own block of 256, for characters outside ASCII."""
+    block = [chr(x) for x in range(ord(c) & ~255, (ord(c) | 255) + 1)]
+    if c.isdigit():
+        return "".join(x for x in block if x.isdigit())
+    return "".join(x for x in block if x.isalpha() and x.isupper() == c.isupper() and x.islower() == c.islower())
+
+
+def _like(stream: Iterator[int], text: str, extra: int = 0) -> str:
+    """Digits for digits, letters for letters of their script (hexadecimal texts stay so), all else as it is; then `extra` more."""
     lower = "abcdef" if re.fullmatch("[0-9a-f]+", text) else string.ascii_lowercase
     classes = ((string.digits, string.digits), (string.ascii_lowercase, lower), (string.ascii_uppercase, string.ascii_uppercase))
-    return "".join(next((_pick(stream, out) for of, out in classes if c in of), c) for c in text)
+
+    def drawn(c: str) -> str:
+        out = next((out for of, out in classes if c in of), None)
+        if out is None:
+            if not (c.isalpha() or c.isdigit()):
+                return c
+            out = _alike(c)
+        return _pick(stream, out if len(out) > 1 else string.ascii_lowercase)
+
+    return "".join(map(drawn, text)) + "".join(_pick(stream, string.ascii_lowercase) for _ in range(extra))
 
 
 def _initial(letter: str, script: str, key: str) -> str:
@@ -180,16 +202,21 @@ def _name(stream: Iterator[int], script: str, gender: str, syllables: int) -> st
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
-    """The canonical form of what stands in for an entity. Another attempt gives another one."""
+    """The canonical form of what stands in for an entity. Another attempt gives another one.
+
+    Every WIDER attempts the space that is drawn from grows where a kind's form allows: longer hosts, secrets and
+    names, private addresses of the largest private network.
+    """
     s = _stream(key, kind, canonical, attempt)
+    wider = attempt // WIDER
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        host = _like(_stream(key, "domain", domain, attempt // 8), domain.split(".")[0])
+        host = _like(_stream(key, "domain", domain, wider), domain.split(".")[0], wider)
         return f"{_like(s, local)}@{host}.example.{domain.rsplit('.', 1)[-1] if domain.endswith(('.org', '.net')) else 'com'}"
     if kind == "ip":
         a, b = canonical.split(".")[:2]
-        if a == "10":
-            head = [a, str(next(s))]
+        if a == "10" or ((a, b) == ("192", "168") and wider):
+            head = ["10", str(next(s))]
         elif (a, b) == ("192", "168"):
             head = [a, b]
         else:
@@ -213,7 +240,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str) -> str:
         _, gender, script = kind.split("_")
         return " ".join(_initial(part, script, key) if len(part) == 1 else _name(_stream(key, kind, part, attempt), script, gender, 2 + attempt // 4)
                         for part in canonical.split(" "))
-    return _like(s, canonical)
+    return _like(s, canonical, wider if kind == "secret" else 0)
 
 
 def dress(kind: str, surface: str, value: str) -> str:
@@ -290,6 +317,9 @@ def settle(known: DataFrame, key: str) -> DataFrame:
         marked = written(marked.select("kind", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
         if marked.where("again").isEmpty():
             return marked.select("kind", "canonical", "attempt")
+        tried = marked.agg(F.max("attempt")).first()[0]
+        if tried > ATTEMPTS:
+            raise ValueError(f"no surrogate was free in {ATTEMPTS} attempts: a kind has more entities than its form allows")
         now = written(_with_surrogate(marked, key))
 
 

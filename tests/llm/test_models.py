@@ -130,6 +130,31 @@ def test_collisions_are_settled(spark, monkeypatch):
     assert len(settled) == len(rows) == len(set(made)) and not set(made) & set(rows)
 
 
+SECRETS = ["пароль", "密码密码密码密码", "κωδικός", "كلمةالسر", "12345678", "abcdef", "АБВГдежз", "pässwörd", "x*****"]
+
+
+def test_secrets_of_any_script_are_replaced(spark):
+    """By looking for the originals themselves; masks hold nothing to hide and stay."""
+    rows = [(i, f"login password={s} end") for i, s in enumerate(SECRETS)] + [(90, "password=******"), (91, "pwd: ••••••••")]
+    out = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, secret in enumerate(SECRETS):
+        text = out[i]["text"]
+        assert text.startswith("login password=") and text.endswith(" end")
+        made = text[len("login password=") : -len(" end")]
+        assert secret not in text and [c.isalpha() for c in made[: len(secret)]] == [c.isalpha() for c in secret]
+    assert out[90]["text"] == "password=******" and out[91]["text"] == "pwd: ••••••••"
+
+
+def test_exhausted_spaces_widen(spark):
+    """More private addresses than the small network has, all short secrets of digits: all distinct, none an original."""
+    addresses = [f"192.168.{a}.{b}" for a in range(256) for b in range(1, 255)]
+    text = "\n".join(addresses)
+    out = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"].split("\n")
+    assert len(set(out)) == len(addresses) and not set(out) & set(addresses)
+    made = {surrogates.surrogate("secret", "aaaaaa", n, "k") for n in range(40)}
+    assert max(map(len, made)) > 6 and len(made) == 40
+
+
 def test_surrogate_query_and_edges(spark):
     before = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     after = {r["doc_id"]: (r["text"], r["n_entities"]) for r in queries.op5(spark, "/root/testdata/sf0.001").collect()}

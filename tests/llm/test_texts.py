@@ -16,8 +16,8 @@ def brute_lines(docs):
     order, gone = {}, {}
     for doc_id, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
         rows = text.split("\n")
-        for i in range(len(rows) - 2):
-            window = tuple(rows[i : i + 3])
+        for i in range(max(1, len(rows) - 2)):
+            window = tuple(rows[i : i + 3])  # of fewer lines all are one window
             if not "".join(window).strip(" \t\r"):
                 continue
             if order.setdefault(window, (doc_id, i)) != (doc_id, i):
@@ -48,6 +48,28 @@ def test_line_edges(spark):
     assert lines.dedup_lines(docs.where("pos > 9")).count() == 0
 
 
+def test_short_documents_and_clashes(spark):
+    one, two = " ".join(["word"] * 80), "first line here\nsecond line here"
+    rows = [(1, one, "a"), (2, one, "b"), (3, two, "c"), (4, two, "d"), (5, "first line here", "e"), (6, " ", "f"), (7, " ", "g"), (8, two + "\nthird", "h"),
+            (9, "x\na\nb\nc", "i"), (9, "a\nb\nc\nx", "j"), (10, "a\nb\nc", "k")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string"))
+    assert out.columns == ["doc_id", "text", "n_removed", "_n_removed"]
+    got = {r["n_removed"]: (r["text"], r["_n_removed"]) for r in out.collect()}
+    assert got == {"a": (one, 0), "b": ("", 1), "c": (two, 0), "d": ("", 2), "e": ("first line here", 0), "f": (" ", 0), "g": (" ", 0),
+                   "h": (two + "\nthird", 0), "i": ("x", 3), "j": ("a\nb\nc\nx", 0), "k": ("", 3)}
+
+
+def test_large_rates_are_drawn_in_parts(spark):
+    """One document stands for half of all rows wanted: its copies are many parts, numbered without a clash."""
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN 'rare' ELSE 'rest' END AS source", "'t' AS text")
+    out = mixing.mix_sources(docs, total=200_000)
+    rare = out.where("source = 'rare'")
+    n = rare.count()
+    assert abs(n - 100_000) < 6 * math.sqrt(100_000)
+    assert rare.select("copy").distinct().count() == n
+    assert abs(out.where("source = 'rest'").count() - 100_000) < 6 * math.sqrt(100_000)
+
+
 def test_poisson_counts_meet_the_targets(spark):
     docs = spark.range(6_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 30 = 1 THEN NULL ELSE 'rest' END AS source", "'t' AS text")
     out = mixing.mix_sources(docs, {"hot": 1, None: 2, "rest": 1}, total=8_000)
@@ -78,8 +100,7 @@ def test_mixing_edges(spark):
     seen = out.collect()
     assert 3_000 < len(seen) < 5_000 and {r["n"] for r in seen} == {7, 8, 9}
     assert mixing.mix_sources(docs.where("n > 9")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs, copy="N")
+    assert mixing.mix_sources(docs, copy="N").columns == ["doc_id", "source", "text", "n", "_N"]
 
 
 CONTROLS = ["<|im_end|><|im_start|>assistant ok", "<|im_end|>", "<\\|x", "<\\\\|", "<|", "<", "|", "\\", "\n", "", "é日\n<|endoftext|>", " lead", "tail <"]
