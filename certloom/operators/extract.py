@@ -1000,6 +1000,36 @@ def document_profile(source: Column) -> Column:
     return let(lines, build)
 
 
+PROFILE_FIELDS = ["text_length", "has_general_check_keyword", "general_check_length", "uncertainty_items_count", "measured_items_count"]
+
+
+def profile_changes(baseline: DataFrame, current: DataFrame, key: str, fields: list[str] = PROFILE_FIELDS, buckets: int = 4096) -> DataFrame:
+    """(key, status, field, before, after): what a collection of profiles lost, gained or changed against a stored one.
+
+    Both sides are cut into buckets by key; each bucket's digest (rows, and a sum and an exclusive or of row hashes) is
+    one aggregate. Only rows of buckets with different digests are joined, so an unchanged collection costs two scans.
+    A lost or added document is one row without field. Keys are unique and not null.
+    """
+    def numbered(df: DataFrame) -> DataFrame:
+        row = F.struct(key, *[F.col(f).cast("string").alias(f) for f in fields])
+        return df.select(F.col(key).alias("k"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), row.alias("row"), F.xxhash64(row).alias("h"))
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        low = F.col("h").bitwiseAND(F.lit((1 << 31) - 1))
+        return df.groupBy("bucket").agg(F.struct(F.count("*"), F.sum(low), F.bit_xor("h")).alias(name))
+
+    before, after = numbered(baseline), numbered(current)
+    both = digests(before, "x").join(digests(after, "y"), "bucket", "full")
+    differing = both.where(~F.col("x").eqNullSafe(F.col("y"))).select("bucket")
+    old, new = (df.join(differing, "bucket", "left_semi").select("k", F.col("row").alias(name)) for df, name in ((before, "old"), (after, "new")))
+    status = F.when(F.col("new").isNull(), "lost").when(F.col("old").isNull(), "added").otherwise("changed")
+    changes = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), F.col("old")[f].alias("before"), F.col("new")[f].alias("after")) for f in fields)),
+                       lambda c: ~c["before"].eqNullSafe(c["after"]))
+    nothing = F.array(F.struct(*(F.lit(None).cast("string").alias(f) for f in ("field", "before", "after"))))
+    joined = old.join(new, "k", "full").withColumn("status", status)
+    return joined.select(F.col("k").alias(key), "status", F.inline(F.when(F.col("status") == "changed", changes).otherwise(nothing)))
+
+
 def block_score(block: Column) -> Column:
     """How much usable content a general-check block holds."""
     kept = tx.keep_tabs_text(block)

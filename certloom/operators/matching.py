@@ -651,3 +651,42 @@ def learn_feedback(existing: DataFrame, corrections: DataFrame, max_aliases: int
         "id", "n.updated_at", "n.template_name", "n.device_name", "n.device_code",
         match_text("n.device_name").alias("device_name_norm"), tx.code_norm("n.device_code").alias("device_code_norm"),
         F.coalesce("source_aliases", F.array().cast("array<string>")).alias("source_aliases"))
+
+
+# --- pending corrections ----------------------------------------------------
+
+
+def pending_entries(corrections: DataFrame, keywords: int = 20) -> DataFrame:
+    """What a reviewer is shown of each correction: template and its code, source, suggested aliases and keywords.
+
+    corrections: (batch_id, id, created_at, template_name, device_name, device_model, device_code, manufacturer,
+    file_name, raw_text), unique by (batch_id, id). A correction without a template is none. keywords: how many are suggested.
+    """
+    kept = corrections.where(tx.strip("template_name") != "")
+    key = F.struct("batch_id", "id").alias("correction")
+    ranked = keyword_candidates(kept.select(key, "raw_text"), "correction", "raw_text").where(F.col("rank") <= keywords)
+    words = ranked.groupBy("correction").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("source_keywords"))
+    source = F.struct(*[tx.strip(c).alias(c) for c in ("file_name", "device_name", "device_model", "device_code", "manufacturer")])
+    entries = kept.select(
+        key, "created_at", F.lit("pending").alias("status"), tx.strip("template_name").alias("template_name"),
+        tx.template_code("template_name").alias("template_code"), source.alias("source"),
+        template_aliases(F.col("template_name"), F.col("device_name")).alias("template_aliases"))
+    joined = entries.join(words, "correction", "left")
+    return joined.select(
+        "correction.*", *entries.columns[1:], F.coalesce("source_keywords", F.array().cast("array<string>")).alias("source_keywords"))
+
+
+def new_pending(log: DataFrame, corrections: DataFrame, keywords: int = 20) -> DataFrame:
+    """Entries of corrections that the log doesn't hold yet, in the log's form: a batch that is run again adds nothing."""
+    once = corrections.dropDuplicates(["batch_id", "id"])
+    fresh = once.join(log.select("batch_id", "id"), ["batch_id", "id"], "left_anti")
+    return pending_entries(fresh.select(*corrections.columns), keywords)
+
+
+def append_pending(path: str, corrections: DataFrame, keywords: int = 20) -> None:
+    """Appends new entries to the log, a folder of Parquet files; only the keys of what it holds are read."""
+    spark = corrections.sparkSession
+    empty = pending_entries(corrections.limit(0), keywords)
+    empty.write.mode("append").parquet(path)  # the folder is there from the first batch on
+    written(new_pending(spark.read.schema(empty.schema).parquet(path), corrections, keywords)).write.mode("append").parquet(path)

@@ -32,14 +32,14 @@ def daily_numbers(
 ) -> DataFrame:
     """An explicit number is kept; the others count per day from 1 as YYYYMMDD + two digits.
 
-    arrival: integer, unique per day. issued: (day, seq) numbers already given
+    arrival: whole number or time stamp, unique per day. issued: (day, seq) numbers already given
     out; counting goes on after them. Days are counted in blocks, so a day
     with most of the rows is spread over tasks.
     """
     given = F.nullif(strip(explicit), F.lit("")) if explicit is not None else F.lit(None).cast("string")
     keyed = df.withColumns({"__given": given})
     counted = running(
-        keyed, [day], arrival, {"__seq": ("sum", F.col("__given").isNull().cast("long"))})
+        keyed, [day], arrival, {"__seq": ("sum", F.col("__given").isNull().cast("long"))}, block=None)
     if issued is not None:
         last = issued.groupBy(F.col("day").alias("__day")).agg(F.max("seq").alias("__last"))
         counted = counted.join(last, F.col(day) == F.col("__day"), "left")

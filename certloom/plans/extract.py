@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from certloom.functions import text as tx
 from certloom.operators import extract as ex
 from certloom.operators import fields
 from certloom.plans import query, spread, table
+from certloom.session import shared_folder, written
+from certloom.sources import readers
 
 
 def _s(c: Column | str) -> Column:
@@ -279,6 +283,51 @@ def document_profile(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
+@query("profile_changes", """
+WITH d AS (SELECT doc_id, length(text) AS n, doc_id % 10 AS k, length('一般检查' || chr(10) || '温度偏差 扩展不确定度U=1.5 ℃,k=2') AS block FROM documents)
+SELECT doc_id, CASE k WHEN 1 THEN 'lost' ELSE 'added' END AS status, NULL AS field, NULL AS before, NULL AS after FROM d WHERE k IN (1, 2)
+UNION ALL SELECT doc_id, 'changed', 'text_length', CAST(n AS VARCHAR), CAST(n + 1 + block AS VARCHAR) FROM d WHERE k = 3
+UNION ALL SELECT doc_id, 'changed', 'has_general_check_keyword', 'false', 'true' FROM d WHERE k = 3
+UNION ALL SELECT doc_id, 'changed', 'general_check_length', '0', CAST(block AS VARCHAR) FROM d WHERE k = 3
+UNION ALL SELECT doc_id, 'changed', 'uncertainty_items_count', '0', '1' FROM d WHERE k = 3""")
+def profile_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles against stored ones: some documents gone, some new, some with a general check and an uncertainty added."""
+    docs, k = table(spark, sf, "documents"), F.col("doc_id") % 10
+    added = F.concat("text", F.lit("\n一般检查\n温度偏差 扩展不确定度U=1.5 ℃,k=2"))
+
+    def profiles(df: DataFrame) -> DataFrame:
+        return spread(df).select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+
+    baseline = written(profiles(docs.where(k != 2)))
+    current = profiles(docs.where(k != 1).withColumn("text", F.when(k == 3, added).otherwise(F.col("text"))))
+    return ex.profile_changes(baseline, current, "doc_id")
+
+
+@query("extract_all_fields", f"""WITH {_EXPECT}
+SELECT e.doc_id, device_name, device_model, device_code, manufacturer, 'Client Co ' || doc_id AS unit_name, 'Road ' || doc_id AS address,
+  '021-5555' || doc_id AS contact_info, certificate_no, receive_date, '2024-05-07' AS calibration_date, '2024年05月08日' AS release_date, location,
+  '(1) JJG 123-2010 规程' AS basis_standard, 'Client Co ' || doc_id AS client_name, temperature, humidity, doc_id || '0W' AS power_rating,
+  '2020年01月15日' AS manufacture_date, '校准' AS basis_mode, 'JJG 123-2010 规程' AS basis_standard_items, '耐压试验' || chr(10) || '局放试验' AS measurement_items,
+  '2' AS measurement_item_count, '5 10 ' || doc_id AS pd_charge_values_pc, NULL AS pd_rise_time_values_ns, NULL AS pd_pulse_amplitude_values_v,
+  '1.5' AS pd_voltage_urel_percent, '0.2' AS pd_scan_time_urel_percent, NULL AS pd_capacitance_urel_percent, NULL AS pd_power_tolerance_urel_percent,
+  '1.5' AS pd_voltage_calibration_urel_percent, '1' AS device_group_count, '1. ' || device_name || ' | ' || device_model || ' | ' || device_code AS device_group_summary,
+  'template_form_word' AS source_profile, '模板单记录Word' AS source_profile_label, '0' AS has_measurement_scope, '耐压试验|局放试验' AS numbered FROM e""")
+def extract_all_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of richer records; the maker's label is one that a configuration file adds. numbered: numbered_items by itself."""
+    key = _s("doc_id")
+    more = [F.concat(F.lit("委托单位: Client Co "), key), F.concat(F.lit("地址: Road "), key), F.concat(F.lit("联系方式: 021-5555"), key),
+            F.concat(F.lit("电源/功率: "), key, F.lit("0W")), F.lit("制造日期: 2020-01-15\n校准日期: 2024-05-07\n一、耐压试验\n2. 局放试验"),
+            F.concat(F.lit("电荷量 实测值: 5 10 "), key), F.lit("试验电压 Urel= 1.5%\n扫描时间 Urel=0.2%\n本次校准所依据的技术规范\n(1) JJG 123-2010 规程\n备注")]
+    body = F.regexp_replace("text", "生产厂商:\\s*Manufacturer:\\s*", "出品方: ")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([('{"manufacturer": ["(出品方)[:：]?\\\\s*(.+)"]}',)], "value string").write.text(path)
+    texts = record_texts(spark, sf).select("doc_id", F.concat_ws("\n", body, *more).alias("text"))
+    found = fields.extract_fields(texts, patterns=readers.read_field_patterns(spark, path)).withColumn(
+        "basis_standard_items", F.array_join("basis_standard_items", "|"))
+    items = ex.numbered_items(tx.split_lines("raw_record"))
+    return found.select("doc_id", *fields.RESULT_FIELDS, F.array_join(items, "|").alias("numbered"))
+
+
 @query("data_lines", """
 SELECT p_partkey AS doc_id, unnest([0, 1, 2]) AS pos,
   unnest(['2.11 Ar GZ ' || CAST(p_partkey AS VARCHAR) || ' 22.5', 'z1-3 x', '1 2 3 4 5 6']) AS line FROM part""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from certloom.operators import extract as ex
 from certloom.operators import matching as mt
 from certloom.plans import query, spread, table
 from certloom.plans.extract import lab_texts
+from certloom.session import shared_folder
 
 
 def _s(c: object) -> object:
@@ -231,3 +234,25 @@ def learn_feedback(spark: SparkSession, sf: str) -> DataFrame:
     learned = mt.learn_feedback(rows.limit(0), rows.where(F.col("id") <= half)).select(*rows.columns)
     return mt.learn_feedback(learned, rows.where(F.col("id") > half)).select(
         "id", "template_name", "device_name_norm", F.array_join("source_aliases", "|").alias("aliases"))
+
+
+@query("pending_feedback", """
+WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(p_name || ' ' || p_type || ' ' || p_type, '[一-鿿A-Za-z0-9%℃Ωμ~./-]{2,30}')) AS token FROM part),
+c AS (SELECT p_partkey, token, count(*) AS n, CASE WHEN regexp_matches(token, '(?i)\\d{2,4}k?v|kV') THEN 1 ELSE 0 END AS boost FROM t
+  WHERE NOT regexp_full_match(token, '[\\d.%-]+') GROUP BY ALL),
+k AS (SELECT p_partkey, string_agg(token, '|' ORDER BY boost DESC, n DESC, length(token) DESC, token) AS keywords FROM c GROUP BY p_partkey)
+SELECT p_partkey % 3 AS batch_id, p_partkey AS id, 'pending' AS status, 'R-803B ' || p_name || '.docx' AS template_name,
+  'r-803b' AS template_code, p_brand AS device_code, p_name AS aliases, keywords FROM part JOIN k USING (p_partkey)""")
+def pending_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """The log after three batches of corrections, the second of which came twice."""
+    corrections = table(spark, sf, "part").select(
+        (F.col("p_partkey") % 3).alias("batch_id"), F.col("p_partkey").alias("id"), F.lit("2024-01-01").alias("created_at"),
+        F.concat(F.lit("R-803B "), "p_name", F.lit(".docx ")).alias("template_name"), F.col("p_name").alias("device_name"),
+        F.col("p_type").alias("device_model"), F.concat(F.lit(" "), "p_brand").alias("device_code"), F.lit("").alias("manufacturer"),
+        F.lit("a.docx").alias("file_name"), F.concat("p_name", F.lit("\n"), "p_type", F.lit("\n"), "p_type").alias("raw_text"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for batches in ([0, 1], [1], [1, 2]):
+        mt.append_pending(path, corrections.where(F.col("batch_id").isin(batches)))
+    return spark.read.parquet(path).select(
+        "batch_id", "id", "status", "template_name", F.lower("template_code").alias("template_code"), "source.device_code",
+        F.array_join("template_aliases", "|").alias("aliases"), F.array_join("source_keywords", "|").alias("keywords"))

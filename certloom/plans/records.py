@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 import pandas as pd
@@ -13,6 +14,7 @@ from certloom.operators import enrich, metrics, records
 from certloom.operators import extract as ex
 from certloom.plans import query, table
 from certloom.plans.sheets import _CELLS, sheet_rows
+from certloom.session import shared_folder
 from certloom.sources import readers, writers
 
 
@@ -396,3 +398,46 @@ def appendix_lines(spark: SparkSession, sf: str) -> DataFrame:
     separator = F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(",")
     source = F.concat_ws("", F.lit("\n"), F.col("p_name"), separator, F.col("p_type"), separator, F.lit(" 2025-01-02\n"))
     return table(spark, sf, "part").select("p_partkey", F.inline(ex.appendix_lines(source)))
+
+
+@query("seed_records", """
+SELECT p_brand AS seed_key, CAST(count(*) OVER (PARTITION BY p_brand) AS INT) AS row_count, CAST(p_partkey AS INT) AS row_number, p_name || ': ' || p_type AS raw_record,
+  p_type AS model, 'of ' || p_brand AS unknown FROM part""")
+def seed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A seed file per brand; a field that no schema names is read as well."""
+    row = F.struct(F.col("p_partkey").cast("int").alias("row_number"), F.concat("p_name", F.lit(": "), "p_type").alias("raw_record"),
+                   F.create_map(F.lit("model"), F.col("p_type")).alias("fields"))
+    seeds = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(row).alias("rows"))
+    made = F.to_json(F.struct(F.col("p_brand").alias("seed_key"), F.size("rows").alias("row_count"), "rows", F.concat(F.lit("of "), "p_brand").alias("origin")))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    seeds.select(F.md5("p_brand").alias("part"), made.alias("value")).write.partitionBy("part").text(path)
+    back = readers.read_seed_records(spark, path)
+    return back.select("seed_key", "row_count", "row_number", "raw_record", F.col("fields")["model"].alias("model"),
+                       F.try_variant_get("document", "$.origin", "string").alias("unknown"))
+
+
+def task_files(spark: SparkSession, sf: str) -> str:
+    """A task file per customer nation: its orders' status as queue."""
+    item = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("fileName"), F.lit(1).alias("rowNumber"), F.lit("ready").alias("status"))
+    tasks = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(item)).alias("queue"))
+    made = F.to_json(F.struct(
+        F.concat(F.lit("t"), "c_nationkey").alias("id"), F.lit("task").alias("task_name"), F.lit("open").alias("status"), (F.col("c_nationkey") % 5 == 0).alias("archived"),
+        F.struct(F.concat(F.lit("NO"), "c_nationkey").alias("record_no")).alias("template_info"), F.struct("queue").alias("workspace_draft")))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    tasks.select("c_nationkey", made.alias("value")).write.partitionBy("c_nationkey").text(path)
+    return path
+
+
+@query("task_list", """
+SELECT 't' || c_nationkey AS id, 'task' AS task_name, 'NO' || c_nationkey AS record_no, CAST(count(*) AS INT) AS queue_size
+FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY c_nationkey""")
+def task_list(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.task_list(readers.read_tasks(spark, task_files(spark, sf))).select("id", "task_name", "record_no", "queue_size")
+
+
+@query("task_queue", """
+SELECT 't' || c_nationkey AS task_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_custkey AS VARCHAR)) - 1 AS INT) AS position,
+  CAST(c_custkey AS VARCHAR) AS id, c_name AS "fileName", 'ready' AS status FROM customer""")
+def task_queue(spark: SparkSession, sf: str) -> DataFrame:
+    queue = readers.task_queue(readers.read_tasks(spark, task_files(spark, sf)))
+    return queue.select("task_id", "position", "id", "fileName", "status")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 from certloom import vocab
@@ -285,14 +286,36 @@ _TASK = (
     "templateName:string, recordCount:int, fields:map<string,string>, recognizedFields:map<string,string>>>, selected_ids:array<string>>")
 
 
+def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document variant): each object of JSON files, of a file's array each element, with all its fields. Broken files give none."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    return whole.select(F.explode(many).alias("document"))
+
+
 def read_seed_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of seed files (seed_key, row_count, row_number, raw_record, fields)."""
-    seeds = spark.read.schema(_SEED).option("multiLine", True).json(path)
-    return seeds.select("seed_key", "row_count", F.inline("rows"))
+    """Rows of seed files: (seed_key, row_count, row_number, raw_record, fields), and the whole seed as `document`.
+
+    A typed view of documents that keep the fields that it doesn't know.
+    """
+    seeds = read_json_documents(spark, path).select("document", F.try_variant_get("document", "$", f"struct<{_typed(_SEED)}>").alias("s"))
+    return seeds.select(F.col("s.seed_key").alias("seed_key"), F.col("s.row_count").alias("row_count"), F.inline("s.rows"), "document")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_TASK).option("multiLine", True).json(path)
+    """Tasks, a typed view, and the whole task as `document`."""
+    return read_json_documents(spark, path).select("document", F.try_variant_get("document", "$", f"struct<{_typed(_TASK)}>").alias("t")).select("t.*", "document")
+
+
+def _typed(columns: str) -> str:
+    """Column definitions as the fields of a struct type."""
+    return T.StructType.fromDDL(columns).simpleString()[len("struct<") : -1]
+
+
+def read_field_patterns(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """A configuration {field: [pattern, ...]} out of a JSON file wherever Spark can read it."""
+    rows = spark.read.option("wholetext", True).text(path).where("trim(value) <> ''").collect()
+    return {field: list(patterns) for row in rows for field, patterns in json.loads(row["value"]).items()}
 
 
 def task_queue(tasks: DataFrame) -> DataFrame:

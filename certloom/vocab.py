@@ -300,8 +300,7 @@ TEMPLATE_PROFILES = [
     {"code": "r-859b", "aliases": ["R-859B", "R_859B", "工频高电压测量系统"], "all": ["工频高电压测量系统"], "any": []},
 ]
 GENERIC_KEYWORDS = [
-    "校准", "校准结果", "说明", "续页", "结果", "证书", "原始记录", "检测", "试验", "系统", "设备", "仪器", "有限公司",
-    "上海国缆检测股份有限公司", "第页", "共页",
+    "校准", "校准结果", "说明", "续页", "结果", "证书", "原始记录", "检测", "试验", "系统", "设备", "仪器", "有限公司", "第页", "共页",
 ]
 KEYWORD_NOISE_LINES = [
     r"^第\s*\d+\s*页\s*[\/／]\s*共\s*\d+\s*页$", r"^page\s+\d+\s+of\s+\d+$", r"^page\s+of\s+total\s+pages$",
