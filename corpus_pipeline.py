@@ -11,10 +11,17 @@ from certloom.llm.shared import free_name, written
 
 #: Documents from this score on are rejected.
 TOXIC = 0.7
+#: Rows of text that a Python worker holds at a time, so that its memory doesn't depend on how rows are batched.
+ROWS_AT_ONCE = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, by a model of the labelled ones among them, is below TOXIC."""
+    _in_small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score, spans = free_name(docs.columns, "toxic_score"), free_name(docs.columns, "toxic_spans")
     return toxicity.tag(docs, model, score_name=score, spans=spans).where(F.col(score) < TOXIC).select(*docs.columns)
@@ -22,6 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of repeated windows; one of which nothing is left goes. n_chars follows the text."""
+    _in_small_batches(spark)
     removed = free_name(docs.columns, "n_removed")
     done = lines.dedup_lines(docs, removed=removed)
     done = done.where((F.col(removed) == 0) | (F.length(F.trim("text")) > 0))
@@ -30,6 +38,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest doc_id. Those without words or doc_id stay."""
+    _in_small_batches(spark)
     known = jaccard.classes(docs, count_links=False)
     gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
@@ -43,6 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token ids (packed), their number, and whether they decode to its text."""
+    _in_small_batches(spark)
     ids, decoded = free_name(docs.columns, "ids"), free_name(docs.columns, "decoded")
     both = bpe.decode(bpe.encode(docs, TOKENIZER, ids=ids), TOKENIZER, ids=ids, text=decoded)
     same = F.col(decoded) == F.coalesce(F.col("text"), F.lit(""))
