@@ -182,10 +182,11 @@ def first_match(c: Column, patterns: Iterable[str]) -> Column:
 
 
 def file_name(c: Column | str, fallback: str = "row") -> Column:
-    """Path-unsafe characters to '_', outer dots cut, at most 80 characters."""
+    """Path-unsafe characters to '_', outer dots cut, at most 80 characters; of a longer name the last nine are '_' and a hash of it all."""
     out = F.regexp_replace(text(c), r'[\\/:*?"<>|]+', "_")
-    out = F.substring(F.btrim(strip(out), F.lit(".")), 1, 80)
-    return F.when(out == "", F.lit(fallback)).otherwise(out)
+    out = F.btrim(strip(out), F.lit("."))
+    short = F.concat(F.substring(out, 1, 71), F.lit("_"), F.substring(F.md5(out.cast("binary")), 1, 8))
+    return F.when(out == "", F.lit(fallback)).when(F.length(out) > 80, short).otherwise(out)
 
 
 def replace_all(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:

@@ -565,13 +565,13 @@ def pick_best_table(cells: DataFrame, threshold: int = vocab.RECORD_TABLE_THRESH
         "doc_id", (-F.col("b.t")).alias("table_no"), F.col("b.score").alias("score"))
 
 
-def merge_aliases(old: Column, new: Column, limit: int = 20) -> Column:
-    """Old and new aliases: first spelling kept, generic and short ones dropped, at most 20."""
+def merge_aliases(old: Column, new: Column, limit: int | None = None) -> Column:
+    """Old and new aliases: first spelling kept, generic and short ones dropped; all, or the first `limit`."""
     both = F.filter(
         F.transform(F.concat(old, new), tx.strip),
         lambda a: (F.length(match_text(a)) >= 2) & ~tx.one_of(match_text(a), vocab.GENERIC_KEYWORDS))
-    return let(both, lambda b: F.slice(F.filter(b, lambda a, i: ~F.array_contains(
-        F.transform(F.slice(b, F.lit(1), i), match_text), match_text(a))), 1, limit))
+    kept = let(both, lambda b: F.filter(b, lambda a, i: ~F.array_contains(F.transform(F.slice(b, F.lit(1), i), match_text), match_text(a))))
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def source_aliases(name: Column, model: Column, code: Column, maker: Column, file_name: Column, body: Column) -> Column:
