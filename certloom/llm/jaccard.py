@@ -9,8 +9,10 @@ links meets in several regions.
 In a region documents are measured against the one with the least of its own, a pivot document, a document against the pivots of a few of its
 regions; those that link with a pivot are its Voronoi cell (each in that of its nearest pivot), known by their
 distances to it, and one component. Cells of one region are compared by
-their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link, and
-only those are measured. Regions with very many cells are joined by a block of pivots at a time, again and again.
+their pivots alone: by the triangle inequality only members in the windows near each other's boundary can link. The windows
+of a large cell and of all its smaller neighbours are a region one level down, of members in place of cells. A region is dealt to blocks, and every two of them are
+compared in one task, which tells only the pairs that sizes, radii and parities leave: no table holds all pairs of a
+region or of two windows. Those pairs are measured by their whole sets.
 
 That gives the components. All links are within them, so links are counted component by component: its sets are
 dealt to blocks by size and hash, and every two blocks whose sizes allow links are compared whole, by matrices.
@@ -33,10 +35,10 @@ from certloom.llm.shingles import CHUNKS, COUNTERS, counters, node_of, parities,
 from certloom.operators.ordered import top_per_key
 from certloom.shipping import by_value
 
-#: Regions with up to so many possible pairs of cells are compared at once, larger ones by so many pivots at a time;
-#: members of a pivot are dealt by so many; a document is first measured against so many pivots of its regions.
-SMALL = 1 << 14
-PIVOTS = 64
+#: Cells of a region are in blocks of about so many, and about so many pairs of cells are looked at in one go; members
+#: of a pivot are dealt by so many; a document is first measured against so many pivots of its regions.
+CELLS = 256
+AT_ONCE = 1 << 17
 DEALT = 256
 TRIED = 3
 #: Links are counted between blocks of about so many sets, over so many shingles at a time.
@@ -203,19 +205,81 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Cells of the regions that hold more than one component, with the number of their possible pairs.
+    """Cells of the regions that hold more than one component, with the number of blocks that they are dealt to.
 
     members: region, cell, root, inner_n (the smallest set to which the region is an inner one), most_n (the largest set).
     """
-    counts = members.groupBy("region").agg((F.count("inner_n") * F.count("*")).alias("pairs"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return members.join(counts.where("low < high AND pairs > 0").select("region", "pairs"), "region").select("region", "cell", "root", "inner_n", "most_n", "pairs")
+    counts = members.groupBy("region").agg(F.ceil(F.count("*") / CELLS).cast("int").alias("parts"), F.count("inner_n").alias("inner"),
+                                           F.min("root").alias("low"), F.max("root").alias("high"))
+    return members.join(counts.where("low < high AND inner > 0").select("region", "parts"), "region").select(
+        "region", "cell", "root", "inner_n", "most_n", "parts")
 
 
-def _pairs(inner: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of cells of different components, one of which holds a set that the region is an inner one of, and the other one as large."""
-    a = inner.select("region", F.col("cell").alias("x"), F.col("root").alias("x_root"), "inner_n")
-    b = members.select("region", F.col("cell").alias("y"), F.col("root").alias("y_root"), "most_n")
-    return a.join(b, "region").where("x_root <> y_root AND inner_n <= most_n").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _near(members: DataFrame, known: DataFrame, reach: float) -> DataFrame:
+    """Pairs of cells (a, b) of one region, of different components, whose members may link by all that is known of their pivots.
+
+    The region is an inner one of a set of one cell, and the other one has a set as large. known: cell, radius, n, bits
+    (of its pivot); sets differ in at least as many elements as in parity bits. A cell goes to as many tasks as its
+    region has blocks; a task holds two blocks.
+    """
+    key = ["region", "x", "y"]
+    dealt = members.join(known, "cell").withColumn("block", F.pmod(F.xxhash64("cell"), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"),
+        "cell", "root", F.coalesce("inner_n", F.lit((1 << 31) - 1)).alias("inner_n"), "most_n", "radius", "n", "bits")
+
+    def told(rows, first, count):
+        """Pairs of each row i with `count[i]` rows from `first[i]` on."""
+        left = np.repeat(np.arange(len(count)), count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        cell, root, inner, most, radius, n = (rows[c] for c in ("cell", "root", "inner_n", "most_n", "radius", "n"))
+        some = (root[left] != root[right]) & ((inner[left] <= most[right]) | (inner[right] <= most[left]))
+        left, right = left[some], right[some]
+        least = np.maximum(1 - (reach + radius[left] + radius[right]), 0.0)
+        low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        some = low >= high * least - SLACK
+        left, right, least, both = left[some], right[some], least[some], (low + high)[some]
+        differ = np.bitwise_count(rows["bits"][left] ^ rows["bits"][right]).sum(axis=1, dtype=np.int64)
+        some = differ * (1 + least) <= both * (1 - least) + SLACK
+        ends = np.sort(np.stack([cell[left[some]], cell[right[some]]], axis=1), axis=1)
+        ends = np.unique(ends, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
+
+    def compare(table):
+        """All pairs of whole tasks, about AT_ONCE at a time."""
+        rows = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in (*key, "side", "cell", "root", "inner_n", "most_n", "radius", "n")}
+        rows["bits"] = table["bits"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(table.num_rows, -1)
+        at = np.arange(table.num_rows)
+        new = np.r_[True, np.any([rows[c][1:] != rows[c][:-1] for c in key], axis=0)]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], table.num_rows]
+        task = np.cumsum(new) - 1
+        second = starts + np.add.reduceat(1 - rows["side"], starts)  # where the other block begins
+        alone = rows["x"] == rows["y"]
+        first = np.where(alone, at + 1, second[task])
+        count = np.where(alone | (rows["side"] == 0), ends[task] - first, 0)
+        turn = (np.cumsum(count) - count) // AT_ONCE
+        for cut in np.split(at, np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+            every = np.zeros(table.num_rows, dtype=np.int64)
+            every[cut] = count[cut]
+            yield told(rows, first, every)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            last = [table[c][-1].as_py() for c in key]
+            ends_here = np.all([table[c].to_numpy() == v for c, v in zip(key, last, strict=True)], axis=0)
+            cut = table.num_rows - int(ends_here.sum())
+            if cut:
+                yield from compare(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return dealt.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def _cells(measured: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -233,30 +297,35 @@ class _Space:
     def __init__(self, docs: DataFrame, nodes: DataFrame, cells: DataFrame, size: int, percent: int) -> None:
         self.docs, self.nodes, self.cells, self.size, self.percent = docs, nodes, cells, size, percent
         self.reach = 1 - percent / 100
-        self.radius = written(cells.groupBy("cell").agg(F.max("far").alias("radius")))
+        self.radius = written(cells.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("members")))
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs of cells (a, b) whose pivots are near enough, by sizes and parities, for members to link."""
-        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"))
-        least = F.greatest(1 - (F.lit(self.reach) + F.col("a_radius") + F.col("b_radius")), F.lit(0.0))
-        return _possible(pairs.join(side("a"), "a").join(side("b"), "b"), self.nodes, least).select("a", "b")
+    def near(self, members: DataFrame) -> DataFrame:
+        """Pairs of cells (a, b) of open regions whose pivots are near enough, by sizes and parities, for members to link."""
+        known = self.radius.join(self.nodes.select(F.col("node").alias("cell"), "n", "bits"), "cell")
+        return _near(members, known, self.reach)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Links between the members of pairs of cells (a, b), as many as connect them if there are any."""
-        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"))
+        """Links between the members of pairs of cells (a, b), as many as connect them if there are any.
+
+        A cell with fewer members is the guest of the other one. A hub's window holds its members near enough to
+        any guest and is sent once, whatever the number of guests; a guest sends its window to each of its hubs.
+        """
+        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"), F.col("members").alias(f"{x}_members"))
         possible = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = _measured(self.docs, self.nodes, possible.select("a", "b"), self.size, self.percent).join(possible, ["a", "b"])
-        boundary = apart.where(~F.col("links") & (F.col("far") <= self.reach + F.col("a_radius") + F.col("b_radius") + SLACK)
-                               & (F.col("a_radius") + F.col("b_radius") > 0)).select(F.col("a").alias("a_cell"), F.col("b").alias("b_cell"), F.col("far").alias("apart"))
-        for x in ("a", "b"):  # members too near their pivot can't reach the other cell
-            other = "b" if x == "a" else "a"
-            widest = self.radius.select(F.col("cell").alias(f"{other}_cell"), F.col("radius").alias("widest"))
-            inside = self.cells.select(F.col("cell").alias(f"{x}_cell"), F.col("node").alias(x), F.col("far").alias(f"{x}_far"))
-            boundary = boundary.join(widest, f"{other}_cell").join(inside, f"{x}_cell").where(
-                F.col(f"{x}_far") >= F.col("apart") - self.reach - F.col("widest") - SLACK).drop("widest")
-        members = boundary.where((F.col("a_far") + F.col("b_far") >= F.col("apart") - self.reach - SLACK) & (F.col("a_far") + F.col("b_far") > 0)).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = written(_possible(members, self.nodes, F.lit(self.percent / 100)))
+        wide = lambda hub, guest: F.struct(F.col(hub).alias("hub"), F.col(guest).alias("guest"), F.col(f"{hub}_radius").alias("hub_radius"), F.col(f"{guest}_radius").alias("guest_radius"))
+        boundary = written(apart.where(~F.col("links") & (F.col("far") <= self.reach + F.col("a_radius") + F.col("b_radius") + SLACK) & (F.col("a_radius") + F.col("b_radius") > 0)).select(
+            F.when(F.col("a_members") >= F.col("b_members"), wide("a", "b")).otherwise(wide("b", "a")).alias("ends"), F.col("far").alias("apart")).select("ends.*", "apart"))
+        # members too near their pivot can't reach the other cell
+        inside = self.cells.select("cell", F.col("node").alias("member"), "far")
+        hubs = boundary.groupBy("hub").agg(F.min(F.col("apart") - F.col("guest_radius")).alias("least"))
+        own = hubs.join(inside, hubs["hub"] == inside["cell"]).where(F.col("far") >= F.col("least") - self.reach - SLACK)
+        guests = boundary.join(inside, boundary["guest"] == inside["cell"]).where(F.col("far") >= F.col("apart") - F.col("hub_radius") - self.reach - SLACK)
+        window = lambda rows, root: rows.select(F.col("hub").alias("region"), F.col("member").alias("cell"), F.lit(root).cast("long").alias("root"), F.lit(1).alias("inner_n"), F.lit(1).alias("most_n"))
+        # a hub's boundary is a region of members, dealt to the same blocks one level down
+        members = written(window(own, 0).unionByName(window(guests, 1)))
+        known = self.nodes.select(F.col("node").alias("cell"), F.lit(0.0).alias("radius"), "n", "bits")
+        near = written(_near(_open(members), known, self.reach))
         found = apart.where("links").select("a", "b")
         return found if near.isEmpty() else found.unionByName(_measured(self.docs, self.nodes, near, self.size, self.percent).where("links").select("a", "b"))
 
@@ -294,18 +363,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     space = _Space(docs, nodes, cells.drop("root"), size, percent)
     members = rows.join(cells.select("node", "cell", "root"), "node").groupBy("region", "cell", "root").agg(
         F.min(F.when(F.col("inner"), F.col("n"))).alias("inner_n"), F.max("n").alias("most_n"))
-    still = written(_open(members))
-    small = still.where(F.col("pairs") <= SMALL)
-    near = [written(space.near(_pairs(small.where("inner_n IS NOT NULL"), small)))]
-    large = still.where(F.col("pairs") > SMALL)
-    order = Window.partitionBy("region").orderBy("cell")
-    ranked = written(large.where("inner_n IS NOT NULL").withColumn("turn", F.floor((F.row_number().over(order) - 1) / PIVOTS)))
-    for turn in range((ranked.agg(F.max("turn")).first()[0] or 0) + 1 if not large.isEmpty() else 0):
-        near.append(written(space.near(_pairs(ranked.where(F.col("turn") == turn), large))))
-    pairs = near[0]
-    for more in near[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = written(pairs.distinct())
+    pairs = written(space.near(_open(members)))
     if not pairs.isEmpty():
         links = written(links.unionByName(space.links(pairs)).distinct())
         roots = components(links)

@@ -68,10 +68,11 @@ def test_classes_are_those_of_brute_force(spark, seed):
     assert len(got) == len(rows)
 
 
-def test_large_regions_are_split_and_peeled(spark, monkeypatch):
-    """With tiny regions allowed, the others go by blocks of pivots; the result is the same."""
-    monkeypatch.setattr(jaccard, "SMALL", 1)
-    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+@pytest.mark.parametrize(("cells", "at_once"), [(256, 1 << 17), (3, 5), (1, 1)])
+def test_large_regions_are_dealt_to_blocks(spark, monkeypatch, cells, at_once):
+    """With tiny blocks every region of cells is dealt to several tasks; the result is the same."""
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
     rng = random.Random(4)
     common = [f"c{i}" for i in range(30)]
     rows = [(i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(12)])) for i in range(14)]
