@@ -285,9 +285,8 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y)))
 
 
-def _similarity(a: str, b: str) -> float:
-    x, y = set(a), set(b)
-    return max(SequenceMatcher(None, a, b).ratio(), len(x & y) / max(1, len(x | y)))
+def _overlap(x: set[str], y: set[str]) -> float:
+    return len(x & y) / max(1, len(x | y))
 
 
 _MATCH = T.ArrayType(T.StructType([
@@ -314,15 +313,31 @@ def match_requirements(targets: Column, sources: Column, threshold: float = 0.30
 
 
 def _choose(targets: list, sources: list, threshold: float) -> list[dict]:
+    """Filter and verify: the exact ratio is taken only of pairs whose bounds by length and by characters still beat the best so far.
+
+    Sources are tried by falling bound of their lengths and characters, so that a good one comes early; among equal
+    scores the first source stays, as if they were tried in order. A source's index is built once per document.
+    """
+    usable = [(j, source["k"], set(source["k"]), SequenceMatcher(None, "", source["k"])) for j, source in enumerate(sources) if source["k"]]
     used: set[int] = set()
     out = []
     for i, target in enumerate(targets):
         best, score = -1, 0.0
-        for j, source in enumerate(sources):
-            if target["k"] and source["k"] and j not in used:
-                s = _similarity(target["k"], source["k"])
-                if s > score:
-                    best, score = j, s
+        key = target["k"] or ""
+        letters, bounded = set(key), []
+        for j, text, own, matcher in usable if key else ():
+            if j not in used:
+                matcher.set_seq1(key)
+                common = _overlap(letters, own)
+                bounded.append((max(common, matcher.real_quick_ratio()), -j, common, matcher))
+        for bound, place, common, matcher in sorted(bounded, key=lambda b: b[:2], reverse=True):
+            if bound < score:
+                break
+            if max(common, matcher.quick_ratio()) < score:
+                continue
+            s = max(common, matcher.ratio())
+            if s > score or (s == score > 0 and -place < best):
+                best, score = -place, s
         if best >= 0 and score < threshold:
             best = -1
         if best >= 0 and len(target["h"]) and not set(target["h"]) & set(sources[best]["h"]):
