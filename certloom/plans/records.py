@@ -15,7 +15,7 @@ from certloom.operators import extract as ex
 from certloom.plans import query, table
 from certloom.plans.sheets import _CELLS, sheet_rows
 from certloom.session import shared_folder
-from certloom.sources import readers, writers
+from certloom.sources import csv_lines, readers, writers
 
 
 def _s(c: Column | str) -> Column:
@@ -32,6 +32,26 @@ def read_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("file_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), "value")
 
 
+@query("read_sheet_rows", """
+SELECT coalesce(source, '') AS file_id, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS row_idx,
+  3 AS width, CAST(doc_id AS VARCHAR) AS first, md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS last
+FROM documents""")
+def read_sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as one CSV file a source, whose splits begin inside the quoted texts of every 50th document, back to rows."""
+    docs = table(spark, sf, "documents")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat(_s("doc_id"), F.lit(","), quoted, F.lit(","), F.coalesce("lang", F.lit("")))
+    lines = docs.select(
+        F.coalesce("source", F.lit("")).alias("file_id"), "doc_id", F.posexplode(F.split(record, "\n")).alias("line", "value"))
+    split = F.floor((F.col("doc_id") + F.when(F.col("line") > 0, 1).otherwise(0)) / 50)
+    numbered = lines.select("file_id", split.alias("block_start"), F.struct("doc_id", "line").alias("in_block"), "value")
+    rows = csv_lines.records_of_lines(numbered).select("file_id", "row_idx", csv_lines.cells_of(F.col("record")).alias("cells"))
+    cell = [F.try_element_at("cells", F.lit(n)) for n in (1, 2, 3)]
+    return rows.select(
+        "file_id", F.col("row_idx").cast("long").alias("row_idx"), F.size("cells").alias("width"),
+        cell[0].alias("first"), F.md5(cell[1].cast("binary")).alias("text_md5"), cell[2].alias("last"))
+
+
 @F.pandas_udf(T.BinaryType())
 def _gb18030(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t.encode("gb18030"))

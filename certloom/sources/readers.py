@@ -18,8 +18,9 @@ from certloom.functions.cells import FieldRule
 from certloom.functions.text import let, placeholder_to_null, squeeze, strip, token
 from certloom.operators.cells import SchemaColumn
 from certloom.operators.extract import split_certificate
-from certloom.operators.ordered import first_per_key, running
+from certloom.operators.ordered import first_per_key
 from certloom.shipping import by_value
+from certloom.sources.csv_lines import cells_of, records_of_lines
 
 by_value(__name__)
 
@@ -31,33 +32,16 @@ def clean_cell(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"^(\d+)\.0$", "$1")
 
 
-def number_file_rows(rows: DataFrame) -> DataFrame:
-    """Add row_idx, the position inside the file.
+def read_sheet_rows(spark: SparkSession, path: str, sheet: str = "s1", separator: str = ",") -> DataFrame:
+    """CSV files as sheet rows (file_id, sheet, row_idx, cells), read in one scan.
 
-    rows: file_id, block_start, in_block. Rows are numbered inside their read
-    block (bounded by spark.sql.files.maxPartitionBytes); blocks are offset by
-    the sizes of the blocks before them.
+    Rows keep the cells they have, however many. Quoted cells may hold separators, doubled quotes and line feeds.
     """
-    counts = rows.groupBy("file_id", "block_start").agg(F.count("*").alias("n"))
-    offsets = running(counts, ["file_id"], "block_start", {"offset": ("sum", F.col("n"))}, inclusive=False)
-    place = F.row_number().over(W.partitionBy("file_id", "block_start").orderBy("in_block"))
-    numbered = rows.withColumn("place", place)
-    return numbered.join(offsets.drop("n"), ["file_id", "block_start"]).withColumn(
-        "row_idx", F.col("offset") + F.col("place") - 1).drop("place", "offset", "block_start", "in_block")
-
-
-def read_sheet_rows(spark: SparkSession, path: str, sheet: str = "s1", separator: str = ",") -> DataFrame:
-    """CSV files as sheet rows (file_id, sheet, row_idx, cells); ragged rows keep all their cells."""
-    lines = spark.read.text(path)
-    width = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))).alias("n"))
-    columns = (width.first()["n"] or 0) + 1  # one number
-    schema = ", ".join(f"c{n} string" for n in range(columns))
-    raw = spark.read.option("sep", separator).schema(schema).csv(path)
-    cells = F.array(*[clean_cell(F.col(f"c{n}")) for n in range(columns)])
-    rows = raw.select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("in_block"), F.lit(sheet).alias("sheet"), cells.alias("cells"))
-    return number_file_rows(rows).select("file_id", "sheet", "row_idx", "cells")
+        F.monotonically_increasing_id().alias("in_block"), "value")
+    cells = F.transform(cells_of(F.col("record"), separator), clean_cell)
+    return records_of_lines(lines, separator).select("file_id", F.lit(sheet).alias("sheet"), "row_idx", cells.alias("cells"))
 
 
 def rows_from_columns(df: DataFrame, file_id: Column, sheet: Column, row_idx: Column, columns: list[str]) -> DataFrame:

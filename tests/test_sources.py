@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from certloom.operators import enrich, records
-from certloom.sources import readers, writers
+from certloom.sources import csv_lines, readers, writers
 
 
 def test_ragged_csv_keeps_rows_and_cells(spark, tmp_path):
@@ -28,6 +30,38 @@ def test_rows_of_a_split_file_are_numbered_in_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_quoted_cells_across_lines_and_splits(spark, tmp_path):
+    dice = random.Random(5)
+    bits = ["a", '"', ",", "\n", "", "天平", "x y", '""', "\n\n", "7"]
+    want = {}
+    for name in ("a", "b"):
+        rows = [["".join(dice.choices(bits, k=dice.randrange(12))) for _ in range(dice.randrange(2, 6))] for _ in range(400)]
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows(rows)
+        want[name] = rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = spark.read.text(str(tmp_path)).select(
+            F.regexp_extract("_metadata.file_path", r"(\w)\.csv$", 1).alias("file_id"),
+            F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("in_block"), "value")
+        assert lines.select("block_start").distinct().count() > 5
+        got = csv_lines.records_of_lines(lines).select("file_id", "row_idx", csv_lines.cells_of(F.col("record")).alias("cells")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, rows in want.items():
+        read = {r.row_idx: r.cells for r in got if r.file_id == name}
+        assert [read[n] for n in range(len(read))] == rows
+
+
+def test_stray_and_unclosed_quotes(spark):
+    lines = ['5" pipe,x', '"done"x,2', "", 'a,"b', "c,d"]
+    made = spark.createDataFrame([("f", n // 2, n, v) for n, v in enumerate(lines)], "file_id string, block_start long, in_block long, value string")
+    got = {r.row_idx: r.cells for r in csv_lines.records_of_lines(made).select("row_idx", csv_lines.cells_of(F.col("record")).alias("cells")).collect()}
+    assert got == {0: ['5" pipe', "x"], 1: ["donex", "2"], 2: ["a", '"b\nc', "d"]}
+    assert csv_lines.records_of_lines(made.limit(0)).count() == 0
+
+
 def test_lossy_text(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿设备名称".encode())
     (tmp_path / "b.txt").write_bytes("设备名称".encode("gb18030"))
