@@ -167,7 +167,7 @@ BASIS_ENDS = [
 
 def calibration_block(source: Column) -> Column:
     """Up to 1200 characters after the calibration-information heading."""
-    block = F.regexp_extract(source, r"(?i)(?:其它|其他)校准信息[:：]?([\s\S]{0,1200})(?:备注[:：]|$)", 1)
+    block = F.regexp_extract(source, r"(?i)(?:其它|其他)校准信息[:：]?((?s:.{0,1200}))(?:备注[:：]|$)", 1)
     return F.nullif(clean_value(block), F.lit(""))
 
 
@@ -200,7 +200,7 @@ def labelled_date(source: Column, lines: Column, label: str) -> Column:
     found = []
     for name in dict.fromkeys((exact, spaced)):
         for window, body, unit in DATE_WINDOWS:
-            hit = F.regexp_extract(source, rf"(?i){name}[\s\S]{{0,{window}}}?{body}", 0)
+            hit = F.regexp_extract(source, rf"(?i){name}(?s:.{{0,{window}}}?){body}", 0)
             parts = F.concat_ws("-", *[F.regexp_extract(hit, f"(?i){body}", n) for n in (1, 2, 3)])
             found.append(F.when(hit.rlike("(?i)" + unit), parts))
     on_line = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(label))), clean_value)
@@ -290,16 +290,26 @@ def series_values(lines: Column, keywords: list[str]) -> Column:
     return let(F.array_compact(F.transform(lines, numbers_of)), choose)
 
 
+def urel_windows(source: Column) -> Column:
+    """What stands within 40 characters of a Urel value, one text per Urel.
+
+    They begin where the text does or 40 characters before a Urel: every later one lies inside an earlier one.
+    """
+    word = "[Uu][Rr][Ee][Ll]"
+    value = rf"{word}\s*=\s*[+-]?\d+(?:\.\d+)?\s*%?"
+    # a dot: the class of blanks and no blanks takes twenty times as long
+    before = rf"(?s)(?={word})(?<=(?=(.{{0,40}}{value}.{{0,40}}))(?:\A.{{0,40}}|.{{40}}))"
+    return F.regexp_extract_all(source, F.lit(before), F.lit(1))
+
+
 def urel_percent(source: Column, lines: Column, keywords: list[str]) -> Column:
     """Urel value on a keyword line, else one with a keyword within 40 characters."""
     pattern = r"(?i)Urel\s*=\s*([+-]?\d+(?:\.\d+)?)\s*%?"
     on_line = _first(F.array_compact(F.transform(lines, lambda x: F.when(
         tx.any_of(x, keywords), F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))))))
-    around = F.regexp_extract_all(source, F.lit(rf"(?=([\s\S]{{0,40}}{pattern[4:]}[\s\S]{{0,40}}))".replace(
-        "Urel", "[Uu][Rr][Ee][Ll]")), F.lit(1))
-    near = _first(F.filter(around, lambda w: tx.any_of(w, keywords)))
-    return F.when(
-        source.rlike(r"(?i)Urel\s*="), F.coalesce(on_line, F.nullif(F.regexp_extract(near, pattern, 1), F.lit(""))))
+    near = let(_first(F.filter(urel_windows(source), lambda w: tx.any_of(w, keywords))), lambda w: F.nullif(
+        F.regexp_extract(w, pattern, 1), F.lit("")))
+    return F.when(source.rlike(r"(?i)Urel\s*="), F.coalesce(on_line, F.when(tx.any_of(source, keywords), near)))
 
 
 # --- devices ----------------------------------------------------------------
