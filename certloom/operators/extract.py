@@ -446,8 +446,9 @@ def explode_devices(df: DataFrame, groups: str, shared: list[str]) -> DataFrame:
 
         return F.filter(rows, keep)
 
-    devices = df.withColumn("__d", own(F.col(groups))).where((F.size(groups) >= 2) & (F.size("__d") >= 2))
-    exploded = devices.select(*[c for c in df.columns if c != groups], F.posexplode("__d").alias("__n", "__g"))
+    # no filter: one on an array is copied down to the scan, where the groups would be found once more
+    several = let(own(F.col(groups)), lambda d: F.when((F.size(groups) >= 2) & (F.size(d) >= 2), d))
+    exploded = df.select(*[c for c in df.columns if c != groups], F.posexplode(several).alias("__n", "__g"))
     kept = [c for c in shared if c in df.columns]
     ids = [c for c in exploded.columns if c not in ("__n", "__g", *kept)]
     g = F.col("__g")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Tasks of a spread table: several per core, so that a slow one holds up little.
+TASKS_PER_CORE = 4
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -30,12 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small file over all cores, ahead of expensive row-wise expressions.
+    """Rows of a table over all cores, ahead of expensive row-wise expressions.
 
-    A table that already has a partition per core is left as it is.
+    Always by a shuffle: a file is read by as many tasks as it has row groups, however many splits it is cut into.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def load() -> None:
