@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from certloom.operators import enrich, metrics, records
 from certloom.operators import extract as ex
-from certloom.plans import query, table
+from certloom.plans import query, spread, table
 from certloom.plans.sheets import _CELLS, sheet_rows
 from certloom.session import shared_folder
 from certloom.sources import csv_lines, readers, writers
@@ -82,7 +82,7 @@ def catalog_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets of instruments, one per type: a title, a header, rows; one type has no header."""
     part, key = table(spark, sf, "part"), F.col("p_partkey")
     headed = F.col("p_type") != "PROMO"
-    body = part.select(
+    body = spread(part).select(
         F.col("p_type").alias("file_id"), F.lit("s").alias("sheet"), (key + 2).alias("row_idx"), F.array(
             F.lit(""), F.col("p_name"), F.col("p_brand"), F.concat(F.lit("K-"), _s(key), F.lit(" 2025-3-4")), F.lit("/")).alias("cells"))
     types = part.select("p_type").distinct()
