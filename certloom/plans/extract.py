@@ -108,7 +108,7 @@ def labelled_date(spark: SparkSession, sf: str) -> DataFrame:
     near = F.concat(F.lit("x\n发布日期：24/"), month, F.lit("/"), day)
     far = F.concat(F.lit("发 布 日 期 | "), "p_name", F.lit(" |\n2024 年 | "), month, F.lit(" 月 | "), day, F.lit(" 日"))
     source = F.when(F.col("p_partkey") % 3 == 0, near).when(F.col("p_partkey") % 3 == 1, far).otherwise("发布日期：待定")
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", ex.labelled_date(F.col("t"), tx.split_lines("t"), "发布日期").alias("day"))
 
 
@@ -153,7 +153,7 @@ FROM part, (VALUES (1), (2)) v(n)""")
 def split_records(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(
         F.lit("Maker 有限公司\n设备名称: "), "p_name", F.lit("\n一、x\n设备名称: "), "p_type", F.lit("\n型号: "), _s("p_size"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.posexplode(ex.split_records(F.col("t"))).alias("n", "block")).select(
         "doc_id", (F.col("n") + 1).alias("block_no"), "block")
 
@@ -165,7 +165,7 @@ SELECT p_partkey AS id, n AS part, CASE WHEN p_partkey % 3 = 0 THEN p_name || '/
 FROM part, (VALUES (0), (1)) v(n) WHERE n = 0 OR p_partkey % 3 = 0""")
 def split_stacked(spark: SparkSession, sf: str) -> DataFrame:
     two = F.col("p_partkey") % 3 == 0
-    made = table(spark, sf, "part").select(
+    made = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("id"),
         F.when(two, F.concat("p_name", F.lit("/0\n"), "p_name", F.lit("/1"))).otherwise(
             F.concat("p_name", F.lit("\n"), "p_type")).alias("name"),
@@ -236,10 +236,10 @@ def section_values(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS doc_id, unnest(['夹具能夹紧试样。', p_name || '可以调整']) AS line FROM part""")
 def check_lines(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(F.lit("一、一般检查：(1)夹具能夹紧试样。(2)"), "p_name", F.lit("可以调整 (3)短"))
-    spread = F.concat(F.lit("一、一般检查：\n(1)夹具能夹紧试样。\n(2) "), "p_name", F.lit("可以调整\n(3)短"))
-    made = table(spark, sf, "part").select(
+    apart = F.concat(F.lit("一、一般检查：\n(1)夹具能夹紧试样。\n(2) "), "p_name", F.lit("可以调整\n(3)短"))
+    made = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("doc_id"),
-        F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace(source, "一、一般检查：", "")).otherwise(spread).alias("t"))
+        F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace(source, "一、一般检查：", "")).otherwise(apart).alias("t"))
     return made.select("doc_id", F.explode(ex.check_lines(F.col("t"))).alias("line"))
 
 
@@ -250,7 +250,7 @@ def block_richness(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(key % 3 == 0, "").when(
         key % 3 == 1, F.concat(F.lit("field\n温度 U=1 ℃,k=2\n实测值：5 ℃\n"), "p_name")).otherwise("扩展不确定度U=  ,k=2")
     raw = F.concat(F.lit("raw\n"), "p_name", F.lit(" 检查 1 2 3"))
-    made = table(spark, sf, "part").select(key.alias("doc_id"), own.alias("own"), raw.alias("raw"))
+    made = spread(table(spark, sf, "part")).select(key.alias("doc_id"), own.alias("own"), raw.alias("raw"))
     return made.select("doc_id", F.regexp_extract(
         ex.choose_block(F.col("own"), F.col("raw")), "^(field|raw)", 1).alias("chosen"))
 
@@ -335,7 +335,7 @@ def data_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Table lines between prose: one document per part."""
     source = F.concat(
         F.lit("检验记录\n序号 名称\n2.11 Ar GZ "), _s("p_partkey"), F.lit(" 22.5\nz1-3 x\n1 2 3 4 5 6\n备注 "), "p_name", F.lit("\n3.4 y"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.posexplode(ex.data_lines(tx.raw_lines("t"))).alias("pos", "line"))
 
 
@@ -347,7 +347,7 @@ def detect_field_keys(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey")
     source = F.concat("p_name", F.when(key % 2 == 0, "\n温　度").otherwise(""), F.when(key % 3 == 0, " 耐压").otherwise(""))
     fixed = F.replace(source, F.lit("温　度"), F.lit("温度"))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         key.alias("doc_id"), F.array_join(ex.detect_field_keys(F.lit("模板"), fixed), ",").alias("keys"))
 
 
@@ -359,7 +359,7 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     separator = F.when(key % 4 == 0, "\t").when(key % 4 == 1, " | ").when(key % 4 == 2, "   ").otherwise(" ")
     source = F.concat(
         F.lit("name"), separator, F.lit("type\n"), "p_name", separator, "p_type", F.lit("\n"), "p_name", separator, "p_type")
-    made = table(spark, sf, "part").select(key.alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(key.alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.posexplode(ex.table_rows(F.col("t"))).alias("row_no", "c")).select(
         "doc_id", "row_no", F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"))
 
@@ -371,7 +371,7 @@ def paired_series(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(
         F.lit("频率\tP1(dBm)\tP2(dBm)\tSE(dB)\n10\t-"), _s("p_size"), F.lit("\t-"), _s(F.col("p_size") + 6), F.lit("\t"),
         F.when(F.col("p_partkey") % 2 == 0, "").otherwise("5.5"), F.lit("\nx\t\t\t"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.inline(ex.paired_series(F.col("t"))))
 
 
@@ -379,7 +379,7 @@ def paired_series(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS doc_id, unnest([0, 1, 2]) AS pos, unnest(['实测值(℃): ' || CAST(p_size AS VARCHAR) || '  ' || CAST(p_partkey AS VARCHAR), p_name, '7']) AS line FROM part""")
 def following_numbers(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(F.lit("实测值(℃):\n"), _s("p_size"), F.lit("\n"), _s("p_partkey"), F.lit("\n"), "p_name", F.lit("\n7"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.posexplode(ex.following_numbers(tx.raw_lines("t"))).alias("pos", "line"))
 
 
@@ -389,7 +389,7 @@ def neighbor_value(spark: SparkSession, sf: str) -> DataFrame:
     model = F.concat(F.lit("M"), _s("p_size"), F.lit("-x"))
     source = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("型号 "), model)).when(
         F.col("p_partkey") % 3 == 1, F.concat(F.lit("型号\n规格\n"), model)).otherwise(F.concat(F.lit("型号\n1\n2\n"), model))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     value = ex.neighbor_value(tx.split_lines("t"), ["型号", "Type"], r"([A-Za-z][A-Za-z0-9\-_/\. ]{2,40})")
     return made.select("doc_id", value.alias("model"))
 
@@ -400,7 +400,7 @@ SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Given ' || p_name
 def resolve_payload(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey")
     source = F.concat(F.lit("设备名称："), "p_name", F.lit("\nModel/Number："), "p_type", F.lit(":N"), _s("p_size"))
-    made = table(spark, sf, "part").select(
+    made = spread(table(spark, sf, "part")).select(
         key.alias("doc_id"), F.when(key % 2 == 0, F.concat(F.lit("Given "), "p_name")).otherwise("Instrument name").alias("device_name"),
         F.lit("Model/Specification").alias("device_model"), source.alias("raw_record"))
     return fields.resolve_payload(made).select("doc_id", "device_name", "device_model", "device_code")
@@ -412,7 +412,7 @@ FROM part""")
 def standard_items(spark: SparkSession, sf: str) -> DataFrame:
     code = F.concat(F.lit("GB / T "), _s("p_size"), F.lit("-2008"))
     block = F.concat(F.lit("前言\n校准依据：\n1. GB/T "), _s("p_size"), F.lit("-2008\n2、JB/T 4278.1-2011\n1. JB/T 4278.1-2011\n备注"))
-    made = table(spark, sf, "part").select(
+    made = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 2 == 0, block).otherwise(
             F.concat(F.lit("见 "), code, F.lit(" 与 "), code)).alias("t"))
     return made.select("doc_id", F.array_join(ex.standard_items(tx.split_lines("t")), ",").alias("items"))
@@ -422,7 +422,7 @@ def standard_items(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS doc_id, unnest(['name', 'type']) AS key, unnest([p_name, p_type]) AS value FROM part WHERE p_partkey % 3 > 0""")
 def key_value_rows(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(F.lit("name: "), "p_name", F.lit("\n\ntype： "), "p_type", F.when(F.col("p_partkey") % 3 == 0, "\nno pair").otherwise(""))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.inline(ex.key_value_rows("t")))
 
 
@@ -432,7 +432,7 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(
         F.lit("1. "), "p_name", F.lit("\n(2) "), "p_type", F.lit("\nGB/T "), _s("p_size"), F.lit("-2008"),
         F.when(F.col("p_partkey") % 3 == 0, "\nplain").otherwise(""))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.explode(ex.list_items("t")).alias("item"))
 
 
@@ -442,7 +442,7 @@ def measurement_rows(spark: SparkSession, sf: str) -> DataFrame:
     separator = F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(" | ")
     source = F.concat(
         F.lit("气瓶名称"), separator, F.lit("型号\n"), "p_name", separator, "p_type", separator, "p_brand", separator, F.lit("0~"), _s("p_size"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.inline(ex.measurement_rows("t"))).select("doc_id", "name", "model", "code", "measurement_range")
 
 
@@ -450,7 +450,7 @@ def measurement_rows(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS doc_id, '0.' || CAST(p_size AS VARCHAR) || ',1.5,2.5' AS noise FROM part""")
 def background_noise(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(F.lit("160kV 背景噪声 1.5pC\n0 kV 背景噪声：9 pC 0."), _s("p_size"), F.lit(" pC\n"), "p_name", F.lit("\n220 kV 背景噪声 2.5 pC"))
-    made = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
+    made = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), source.alias("t"))
     return made.select("doc_id", F.array_join(ex.background_noise(tx.squeezed_lines("t")), ",").alias("noise"))
 
 
@@ -458,7 +458,7 @@ def background_noise(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS doc_id, '2 3 4 5 6 7 8 9 10 ' || CAST(p_size AS VARCHAR) || '|' || CASE WHEN p_partkey % 2 = 0 THEN '7 8' ELSE '' END AS hammer FROM part""")
 def hammer_rows(spark: SparkSession, sf: str) -> DataFrame:
     source = F.concat(F.lit("实际值(g) 1 2 3 4 5 6 7 8 9 10 "), _s("p_size"), F.lit("\n实际值(g) 1 2\n"), "p_name")
-    made = table(spark, sf, "part").select(
+    made = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("doc_id"), source.alias("t"), F.when(F.col("p_partkey") % 2 == 0, "7, 8").alias("stated"))
     rows = ex.hammer_rows(tx.squeezed_lines("t"), [F.lit(""), F.col("stated")])
     return made.select("doc_id", F.array_join(F.transform(rows, lambda r: F.array_join(r, " ")), "|").alias("hammer"))
