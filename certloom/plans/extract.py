@@ -296,9 +296,9 @@ def profile_changes(spark: SparkSession, sf: str) -> DataFrame:
     added = F.concat("text", F.lit("\n一般检查\n温度偏差 扩展不确定度U=1.5 ℃,k=2"))
 
     def profiles(df: DataFrame) -> DataFrame:
-        return spread(df).select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+        return written(spread(df).select("doc_id", ex.document_profile(F.col("text")).alias("p")).select("doc_id", "p.*"))
 
-    baseline = written(profiles(docs.where(k != 2)))
+    baseline = profiles(docs.where(k != 2))
     current = profiles(docs.where(k != 1).withColumn("text", F.when(k == 3, added).otherwise(F.col("text"))))
     return ex.profile_changes(baseline, current, "doc_id")
 

@@ -40,3 +40,8 @@ def test_rows_are_worked_on_once_and_after_the_shuffle(spark, name):
 def test_catalog_rows_are_spread(spark):
     plan = entry.queries()["write_tsv"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
+
+
+def test_profiles_are_made_once(spark):
+    plan = entry.queries()["profile_changes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "一般检查" not in plan
