@@ -59,6 +59,15 @@ def long_cells(rows: DataFrame) -> DataFrame:
 # --- texts ------------------------------------------------------------------
 
 
+#: Texts that a Python worker holds at a time.
+TEXTS_AT_ONCE = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get few texts at a time from now on, so that their memory doesn't grow with the table."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE)
+
+
 @F.pandas_udf(StringType())
 def _decode_gb18030(content: pd.Series) -> pd.Series:
     def one(raw: bytes) -> str:
@@ -72,6 +81,7 @@ def _decode_gb18030(content: pd.Series) -> pd.Series:
 
 def decode_lossy(files: DataFrame, content: str = "content") -> DataFrame:
     """Add text: UTF-8 (with or without mark) in the JVM, other bytes as GB18030."""
+    small_batches(files.sparkSession)
     raw = F.col(content)
     valid = F.is_valid_utf8(raw.cast("string"))
     utf8 = files.where(valid).withColumn("text", F.regexp_replace(F.decode(raw, "UTF-8"), "^﻿", ""))

@@ -45,3 +45,13 @@ def test_catalog_rows_are_spread(spark):
 def test_profiles_are_made_once(spark):
     plan = entry.queries()["profile_changes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "一般检查" not in plan
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        rows = entry.queries()["read_text_lossy"](spark, SF).count()
+        assert rows == spark.read.parquet(f"{SF}/documents.parquet").count() and int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
