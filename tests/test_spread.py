@@ -55,3 +55,8 @@ def test_texts_reach_python_in_small_batches(spark):
         assert rows == spark.read.parquet(f"{SF}/documents.parquet").count() and int(spark.conf.get(key)) <= 500
     finally:
         spark.conf.set(key, before)
+
+
+def test_linearity_is_worked_out_once(spark):
+    plan = entry.queries()["linearity_metrics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
