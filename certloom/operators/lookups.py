@@ -27,7 +27,7 @@ def unique_values(df: DataFrame, keys: list[str], values: list[str]) -> DataFram
 
 
 def lookup_join(
-    df: DataFrame, lookup: DataFrame, on: dict[str, Column], values: dict[str, str], salt: Column,
+    df: DataFrame, lookup: DataFrame, on: dict[str, Column], values: dict[str, str], salt: Column, tasks: int | None = None,
 ) -> DataFrame:
     """Left join to a one-row-per-key lookup.
 
@@ -36,6 +36,7 @@ def lookup_join(
     spread over all tasks instead of meeting in one. A hot real key meets one
     lookup row and is split by adaptive skew handling.
     values: lookup column -> name in the result.
+    tasks: deals df by key to so many tasks, which adaptive execution neither joins nor splits, for costly work that follows.
     """
     names = list(on)
     missing = F.lit(False)
@@ -47,6 +48,8 @@ def lookup_join(
     right = lookup.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names)).select(
         *[F.col(n).cast("string").alias(f"__j_{n}") for n in names],
         *[F.col(v).alias(out) for v, out in values.items()])
+    if tasks is not None:
+        left, right = left.repartition(tasks, *[f"__j_{n}" for n in names]), right.hint("merge")
     return left.join(right, [f"__j_{n}" for n in names], "left").select(*df.columns, *values.values())
 
 

@@ -307,6 +307,8 @@ KEYWORD_NOISE_LINES = [
     r"^校准证书续页专用$", r"^continued\s+page\s+of\s+calibration\s+certificate$",
 ]
 KEYWORD_BOOSTS = [r"局放|局部放电", r"(?i)\d{2,4}k?v|kV", r"电缆|附件|耐压|脉冲|灵敏度|衰减"]
+#: A boosted token holds one of these or a character beyond ASCII.
+KEYWORD_BOOST_SIGNS = ["v", "V"]
 ANCHOR_GROUPS = [
     ["温度", "℃", "°c", "c"], ["夹角", "角度", "°"], ["力值", "牛", "n"], ["电阻", "ω", "Ω", "欧姆"],
     ["距离", "间距"], ["宽度", "刀口"], ["夹具", "夹头"], ["平行", "互相平行"],
