@@ -34,7 +34,24 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
 
 def any_of(c: Column, words: Iterable[str]) -> Column:
     """True when the text contains at least one of the words."""
-    return c.rlike("|".join(_quote(w) for w in words))
+    return c.rlike(_contains_any(words))
+
+
+def _one_of_words(words: list[str]) -> str:
+    """Pattern of any of the words; words of one first character stand together, so that few are tried at a place."""
+    if not words or not all(words):
+        return "(?:" + "|".join(_quote(w) for w in words) + ")"
+    rests: dict[str, list[str]] = {}
+    for word in words:
+        rests.setdefault(word[0], []).append(_quote(word[1:]))
+    firsts = "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in rests)
+    return f"(?=[{firsts}])(?:" + "|".join(f"{_quote(c)}(?:{'|'.join(r)})" for c, r in rests.items()) + ")"
+
+
+def _contains_any(words: Iterable[str]) -> str:
+    """Pattern that finds whether any of the words occurs; a word that holds another one isn't needed."""
+    words = list(dict.fromkeys(words))
+    return _one_of_words([w for w in words if not any(o in w for o in words if o != w)])
 
 
 def _quote(word: str) -> str:
@@ -313,15 +330,11 @@ def is_placeholder_code(c: Column | str) -> Column:
     return one_of(token(c), vocab.PLACEHOLDER_CODES)
 
 
-def _contains_any(words: Iterable[str]) -> str:
-    return "|".join(_quote(w) for w in words)
-
-
 _LABEL_LINE = (
-    "^(?:" + _contains_any(vocab.LABEL_LINE_TOKENS) + ")$|" + _contains_any(vocab.LABEL_LINE_MARKS))
+    "^" + _one_of_words(vocab.LABEL_LINE_TOKENS) + "$|" + _contains_any(vocab.LABEL_LINE_MARKS))
 _POOR_LABEL = "^$|" + _contains_any(["measurementrange", "测量范围", *LABEL_TOKENS_LONGEST_FIRST])
 _POOR_TOKEN = (
-    "^(?:" + _contains_any([*vocab.LABEL_LINE_TOKENS, *vocab.PLACEHOLDER_NAMES, *vocab.PLACEHOLDER_CODES]) + ")$|"
+    "^" + _one_of_words([*vocab.LABEL_LINE_TOKENS, *vocab.PLACEHOLDER_NAMES, *vocab.PLACEHOLDER_CODES]) + "$|"
     + _contains_any([*vocab.LABEL_LINE_MARKS, *vocab.PLACEHOLDER_MODEL_MARKS]))
 
 
