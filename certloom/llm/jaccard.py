@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certloom.llm.components import components
-from certloom.llm.shared import written
+from certloom.llm.shared import shuffles_removed, written
 from certloom.llm.shingles import CHUNKS, COUNTERS, counters, node_of, parities, rarest, shingles
 from certloom.operators.ordered import top_per_key
 from certloom.shipping import by_value
@@ -46,6 +46,8 @@ BLOCK = 256
 COLUMNS = 1 << 13
 #: Sets that a task remembers to have seen.
 REMEMBERED = 1 << 17
+#: Ids of documents that are sent to the tasks at most, to leave other texts out before a shuffle.
+SENT = 1 << 20
 #: Rounding of distances.
 SLACK = 1e-9
 
@@ -137,41 +139,33 @@ def _regions(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> D
     return docs.select("text").mapInArrow(run, "region long, node long, n int, inner boolean, typical int")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts by doc_id, with all of the documents in wanted: of SENT or fewer, no others, and those are left out where texts are read."""
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SENT else texts
+
+
 def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b, their distance by their whole sets, and whether they link.
 
-    The texts that occur in pairs are fetched once; sets are dealt by a, and by a salt if
-    many are compared with one a, whose set then goes to each salt.
+    The texts that occur in pairs, which are shorter than their sets, are dealt by a, and by a salt if
+    many are compared with one a, whose text then goes to each salt.
     """
     by_a = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
-    member = pairs.join(by_a, "a").select(F.col("b").alias("node"), F.struct(
-        F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member")).alias("to"))
-    pivot = by_a.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("at"))
-    pivot = pivot.select("node", F.struct("at", "part", F.lit(0).alias("member")).alias("to"))
-    tasks = member.unionByName(pivot).groupBy("node").agg(F.collect_list("to").alias("to"))
-    wanted = tasks.join(nodes.select("node", "doc_id"), "node")
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("node", "text", "to.at", "to.part", "to.member")
-
-    def spread(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                found = shingles(one.column(1)[0].as_py(), size)
-                node, at, part, member = (one.column(c)[0].as_py() for c in (0, 2, 3, 4))
-                if node != node_of(found):
-                    continue  # another document of that id
-                for k in range(0, len(at), 64):
-                    m = len(at[k : k + 64])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[k : k + 64], pa.int64()), pa.array(part[k : k + 64], pa.int32()), pa.array(member[k : k + 64], pa.int32()),
-                         pa.array([node] * m, pa.int64()), pa.array([found.tobytes()] * m, pa.binary())], names=["at", "part", "member", "node", "found"])
+    member = pairs.join(by_a, "a").select(F.col("b").alias("node"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
+    pivot = by_a.select(F.col("a").alias("node"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
+    wanted = written(member.unionByName(pivot).join(nodes.select("node", "doc_id"), "node"))
+    texts = wanted.join(_texts(docs, wanted), "doc_id").select("at", "part", "member", "node", "text")
 
     def compare(batches):
         where, own = None, None
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for at, part, member, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.frombuffer(raw, dtype=np.uint64)
+            for at, part, member, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = shingles(text, size)
+                if node != node_of(found):
+                    continue  # another document of that id
                 if not member:
                     where, own = (at, part), found
                 elif where == (at, part):
@@ -182,8 +176,7 @@ def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)],
                                              names=["a", "b", "far", "links"])
 
-    sets = texts.mapInArrow(spread, "at long, part int, member int, node long, found binary")
-    dealt = sets.repartition("at", "part").sortWithinPartitions("at", "part", "member", "node")
+    dealt = texts.repartition("at", "part").sortWithinPartitions("at", "part", "member", "node")
     return written(dealt.mapInArrow(compare, "a long, b long, far double, links boolean").groupBy("a", "b").agg(F.min("far").alias("far"), F.max("links").alias("links")))
 
 
@@ -414,7 +407,7 @@ def degrees(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, perc
     tasks = among.unionByName(up).unionByName(down).groupBy("node").agg(F.collect_list("to").alias("to"))
     wanted = tasks.join(nodes.select("node", "doc_id", "copies"), "node")
     key = ["root", "low", "high", "x", "y"]
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("node", "copies", "text", *(F.col("to")[c].alias(c) for c in [*key, "side"]))
+    texts = wanted.join(_texts(docs, own), "doc_id").select("node", "copies", "text", *(F.col("to")[c].alias(c) for c in [*key, "side"]))
     types = [pa.int64(), *[pa.int32()] * 5]
 
     def spread(batches):
@@ -468,19 +461,20 @@ def classes(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "do
     them. Without count_links the column is left out, and so is the work for it.
     A row without doc_id has no component, and no link.
     """
-    done = join(docs, percent, size, doc_id, text)
-    named = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
-    nodes = written(done.documents.where(named).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count_distinct("doc_id").alias("copies")))
-    rooted = written(_with_root(nodes.withColumnRenamed("doc_id", "least"), done.roots))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    known = rooted.join(least, "root").select(F.col("node").alias("of"), "component", "copies")
-    out = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
-    if count_links:
-        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        linked = written(degrees(texts, nodes, done.roots, size, percent)).withColumnRenamed("node", "linked_of")
-        known = known.join(linked, F.col("of") == F.col("linked_of"), "left").select("of", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-        out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    with shuffles_removed(docs.sparkSession):
+        done = join(docs, percent, size, doc_id, text)
+        named = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+        nodes = written(done.documents.where(named).groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count_distinct("doc_id").alias("copies")))
+        rooted = written(_with_root(nodes.withColumnRenamed("doc_id", "least"), done.roots))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+        known = rooted.join(least, "root").select(F.col("node").alias("of"), "component", "copies")
+        out = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+        if count_links:
+            texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+            linked = written(degrees(texts, nodes, done.roots, size, percent)).withColumnRenamed("node", "linked_of")
+            known = known.join(linked, F.col("of") == F.col("linked_of"), "left").select("of", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+            out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
     rows = done.documents
     return rows.join(known, rows["node"] == known["of"], "left").select(*out)
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -143,3 +145,32 @@ def test_links_of_repeated_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (4, "A B C D E F"), (None, "a b c d e f"), (5, "x"), (6, "")]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["n_links"]) for r in got) == [(0, 0), (3, 1), (3, 1), (4, 1), (5, 0), (6, 0)]
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_shuffles_go_with_their_jobs(spark):
+    """No job of the join leaves shuffle files behind; the caller's setting is the same before and after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key, None)
+    classes = jaccard.classes(spark.createDataFrame(corpus(6, small=True), "doc_id long, text string"))
+    end = time.time() + 20  # files are removed a moment after the job
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key, None) == setting
+    assert classes.count() == len(corpus(6, small=True))
+
+
+def test_texts_of_no_pair_are_left_out(spark, monkeypatch):
+    """Before their shuffle only the texts of documents in pairs are left; with more ids than are sent, all, and the same classes."""
+    docs = spark.createDataFrame(corpus(7, small=True), "doc_id long, text string")
+    wanted = docs.where("doc_id IN (3, 8)").select("doc_id")
+    assert sorted(r["doc_id"] for r in jaccard._texts(docs, wanted).collect()) == [3, 8]
+    few = jaccard.classes(docs).collect()
+    monkeypatch.setattr(jaccard, "SENT", 0)
+    assert jaccard._texts(docs, wanted).count() == docs.count()
+    assert sorted(jaccard.classes(docs).collect()) == sorted(few)
