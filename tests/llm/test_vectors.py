@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from certloom.llm import collisions, queries, topk
+from certloom.llm.vectors import against_all
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +72,48 @@ def test_collision_edges(spark):
     assert got[0] == [9] + [20 * i for i in range(1, 20)] or got[0] == [20 * i for i in range(1, 21)]
     assert len(got) == 30 and all(len(v) == 20 for v in got.values())
     assert collisions.nearest(df.where("vec_id > 9999"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_candidates_are_those_of_the_first_level_with_enough():
+    """Against windows that are compared with every projection, level by level, from the first one for each query; with many ties."""
+    rng = np.random.default_rng(3)
+    for x in (rng.standard_normal((300, 6)), rng.integers(1, 4, (200, 3)).astype(float), np.ones((5, 2))):
+        queries = x[rng.permutation(len(x))[:20]] * rng.uniform(0.5, 2, (min(20, len(x)), 1))
+        index = collisions.Index(x, float(np.sqrt((x * x).sum(axis=1).max())), 16)
+        at = np.empty(index.rank.shape)
+        for j, rank in enumerate(index.rank):
+            at[j] = index.sorted[j][rank]
+        centre = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ index.axes[:-1]
+        for i, found in enumerate(index.candidates(queries, 0.75, 0.25, 21)):
+            level, want = 0, np.empty(0)
+            while len(want) < min(len(x), max(21, math.ceil(0.25 * len(x)))):
+                half = collisions.FIRST_WIDTH * index.spread * collisions.GROWTH**level
+                inside = (at >= (centre[i] - half)[:, None]) & (at <= (centre[i] + half)[:, None])
+                want, level = np.flatnonzero(inside.sum(axis=0) >= 12), level + 1
+            assert found.tolist() == want.tolist()
+
+
+def test_blocks_of_queries_share_groups(spark):
+    """With as many groups as are wanted a row moves once for each, not for each block of queries; all pairs meet once."""
+    rows = spark.range(400).select("id", F.array(F.lit(1.0)).alias("v"))
+
+    def run(rows, queries):
+        return pa.table({"rows": [rows.num_rows], "queries": [queries.num_rows]})
+
+    met = [against_all(rows, F.col("id") % 2 == 0, run, "rows long, queries long", 100, 10, n).collect() for n in (None, 8, 1)]
+    assert [len(m) for m in met] == [80, 8, 4]
+    assert all(sum(r["rows"] * r["queries"] for r in m) == 400 * 200 for m in met)
+
+
+def test_nearest_whatever_the_groups(spark, monkeypatch):
+    """Floats are sent as floats; queries in blocks of 3, or all together, give the same rows and the same bits."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-40, 40, (400, 5)) / 8 + 0.1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = []
+    for groups, frame, block in ((8, df, 256), (1, df, 3), (1, df.withColumn("embedding", F.col("embedding").cast("array<double>")), 3)):
+        monkeypatch.setattr(collisions, "GROUPS", groups)
+        got.append(sorted(collisions.nearest(frame, F.col("id") % 20 == 0, k=6, row_block=1000, query_block=block).collect()))
+    assert got[0] == got[1] == got[2]
+    x = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows}
+    assert all(r["score"] == (x[r["query_id"]] * x[r["vec_id"]])[None, :].sum(axis=1)[0] for r in got[0])
