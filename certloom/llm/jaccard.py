@@ -46,6 +46,9 @@ BLOCK = 256
 COLUMNS = 1 << 13
 #: Sets that a task remembers to have seen.
 REMEMBERED = 1 << 17
+#: Sets of more shingles than this have so many parities besides, as half of all short ones differ between any two long sets.
+LONG = 512
+WIDE = 1 << 12
 #: Ids of documents that are sent to the tasks at most, to leave other texts out before a shuffle.
 SENT = 1 << 20
 #: Rounding of distances.
@@ -66,10 +69,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         seen, counts = set(), np.zeros(COUNTERS, dtype=np.uint32)
-        names = ["doc_id", "node", "n", "bits", "chunk", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["doc_id", "node", "n", "bits", "wide", "chunk", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for batch in batches:
-            out = {"node": [], "n": [], "bits": []}
+            out = {"node": [], "n": [], "bits": [], "wide": []}
             for text in batch.column(1):
                 found = shingles(text.as_py(), size)
                 node = node_of(found) if len(found) else None
@@ -81,13 +84,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 out["n"].append(len(found))
                 out["node"].append(node)
                 out["bits"].append(parities(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in zip(names[1:4], types[1:4], strict=True)),
+                out["wide"].append(parities(found, WIDE) if len(found) > LONG else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in zip(names[1:5], types[1:5], strict=True)),
                                               pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=names)
         if seen:
             parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, t) for t in types[:4]), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, t) for t in types[:5]), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, bits array<long>, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, bits array<long>, wide array<long>, chunk int, counts binary")
 
 
 def _classes(sets: DataFrame) -> np.ndarray:
@@ -180,16 +184,16 @@ def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
     return written(dealt.mapInArrow(compare, "a long, b long, far double, links boolean").groupBy("a", "b").agg(F.min("far").alias("far"), F.max("links").alias("links")))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, least: Column) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, least: Column, bits: str = "bits") -> DataFrame:
     """Pairs (and their other columns) that sizes and parities allow to have a similarity of `least` or more.
 
-    Sets differ in at least as many elements as in parity bits.
+    Sets differ in at least as many elements as in parity bits; where one of two sets has none of these, the pair stays.
     """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col(bits).alias(f"{x}_bits"))
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     near = (low >= high * least - SLACK) & (differ * (1 + least) <= (low + high) * (1 - least) + SLACK)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select(*pairs.columns)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.coalesce(near, F.lit(True))).select(*pairs.columns)
 
 
 def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -304,7 +308,8 @@ class _Space:
         any guest and is sent once, whatever the number of guests; a guest sends its window to each of its hubs.
         """
         side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"), F.col("members").alias(f"{x}_members"))
-        possible = pairs.join(side("a"), "a").join(side("b"), "b")
+        nearest = F.greatest(1 - (self.reach + F.col("a_radius") + F.col("b_radius")), F.lit(0.0))
+        possible = written(_possible(pairs.join(side("a"), "a").join(side("b"), "b"), self.nodes, nearest, "wide"))
         apart = _measured(self.docs, self.nodes, possible.select("a", "b"), self.size, self.percent).join(possible, ["a", "b"])
         wide = lambda hub, guest: F.struct(F.col(hub).alias("hub"), F.col(guest).alias("guest"), F.col(f"{hub}_radius").alias("hub_radius"), F.col(f"{guest}_radius").alias("guest_radius"))
         boundary = written(apart.where(~F.col("links") & (F.col("far") <= self.reach + F.col("a_radius") + F.col("b_radius") + SLACK) & (F.col("a_radius") + F.col("b_radius") > 0)).select(
@@ -318,7 +323,7 @@ class _Space:
         # a hub's boundary is a region of members, dealt to the same blocks one level down
         members = written(window(own, 0).unionByName(window(guests, 1)))
         known = self.nodes.select(F.col("node").alias("cell"), F.lit(0.0).alias("radius"), "n", "bits")
-        near = written(_near(_open(members), known, self.reach))
+        near = written(_possible(_near(_open(members), known, self.reach), self.nodes, F.lit(self.percent / 100), "wide"))
         found = apart.where("links").select("a", "b")
         return found if near.isEmpty() else found.unionByName(_measured(self.docs, self.nodes, near, self.size, self.percent).where("links").select("a", "b"))
 
@@ -336,9 +341,9 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     told = written(_sets(docs, size))
-    sets = told.where("chunk IS NULL").select("doc_id", "node", "n", "bits")
+    sets = told.where("chunk IS NULL").select("doc_id", "node", "n", "bits", "wide")
     nodes = written(sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     regions = _regions(docs.where("doc_id IS NOT NULL"), _classes(told), size, percent)
     in_order = Window.partitionBy("region").orderBy(F.col("inner").desc(), F.col("typical").desc(), "node")
     known = regions.withColumn("pivot", F.first("node").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
@@ -347,7 +352,9 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     one = F.col("node") != F.coalesce("before", F.lit(None).cast("long"))
     rows = written(known.where(F.col("shared") & (one | (F.col("before").isNull() & F.col("after").isNotNull()))).select("region", "pivot", "node", "n", "inner"))
     votes = rows.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    likely = _possible(votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n"), nodes, F.lit(percent / 100))
+    likely = votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n")
+    for bits in ("bits", "wide"):
+        likely = _possible(likely, nodes, F.lit(percent / 100), bits)
     first = top_per_key(likely, ["b"], [F.col("n").desc(), F.col("a")], TRIED, "rank").select("a", "b")
     measured = _measured(docs, nodes, written(first), size, percent)
     links = measured.where("links").select("a", "b")

@@ -45,9 +45,9 @@ def node_of(found: np.ndarray) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def parities(found: np.ndarray) -> list[int]:
-    """512 bits, each the parity of how many elements fall on it: two sets differ in at least as many elements as bits."""
-    bits = np.bincount((found >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
+def parities(found: np.ndarray, width: int = 512) -> list[int]:
+    """`width` bits, each the parity of how many elements fall on it: two sets differ in at least as many elements as bits."""
+    bits = np.bincount((found >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 

@@ -174,3 +174,38 @@ def test_texts_of_no_pair_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT", 0)
     assert jaccard._texts(docs, wanted).count() == docs.count()
     assert sorted(jaccard.classes(docs).collect()) == sorted(few)
+
+
+def test_long_sets_of_nothing_in_common_are_not_measured(spark, monkeypatch):
+    """Texts too long for the short parities that share a passage in their regions, as counters of a large corpus are all alike:
+    only the pair that links is measured, with the same classes."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "_classes", lambda sets: np.zeros(shingles.COUNTERS, dtype=np.uint8))
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(3000))])) for i in range(8)]
+    rows.append((50, rows[5][1] + " end"))
+    measured, measure = [], jaccard._measured
+
+    def count(docs, nodes, pairs, *rest):
+        measured.append(pairs.count())
+        return measure(docs, nodes, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_measured", count)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    assert sum(measured) == 1
+
+
+def test_wide_parities_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (600, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)])
+        for width in (512, jaccard.WIDE):
+            bits = [np.unpackbits(np.array(shingles.parities(x, width)).view(np.uint8)) for x in (a, b)]
+            assert len(bits[0]) == width
+            assert (bits[0] != bits[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
