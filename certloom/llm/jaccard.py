@@ -184,16 +184,18 @@ def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
     return written(dealt.mapInArrow(compare, "a long, b long, far double, links boolean").groupBy("a", "b").agg(F.min("far").alias("far"), F.max("links").alias("links")))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, least: Column, bits: str = "bits") -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, least: Column, *more: str) -> DataFrame:
     """Pairs (and their other columns) that sizes and parities allow to have a similarity of `least` or more.
 
-    Sets differ in at least as many elements as in parity bits; where one of two sets has none of these, the pair stays.
+    Sets differ in at least as many elements as in parity bits; the wide ones count where both sets have them.
+    more: columns of nodes that pairs get for a and for b.
     """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col(bits).alias(f"{x}_bits"))
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "bits", "wide", *more)))
+    differ = lambda bits: F.aggregate(F.zip_with(f"a_{bits}", f"b_{bits}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    near = (low >= high * least - SLACK) & (differ * (1 + least) <= (low + high) * (1 - least) + SLACK)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.coalesce(near, F.lit(True))).select(*pairs.columns)
+    near = lambda bits: differ(bits) * (1 + least) <= (low + high) * (1 - least) + SLACK
+    some = (low >= high * least - SLACK) & near("bits") & F.coalesce(near("wide"), F.lit(True))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(some).select(*pairs.columns, *(f"{x}_{c}" for c in more for x in "ab"))
 
 
 def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -307,9 +309,9 @@ class _Space:
         A cell with fewer members is the guest of the other one. A hub's window holds its members near enough to
         any guest and is sent once, whatever the number of guests; a guest sends its window to each of its hubs.
         """
-        side = lambda x: self.radius.select(F.col("cell").alias(x), F.col("radius").alias(f"{x}_radius"), F.col("members").alias(f"{x}_members"))
         nearest = F.greatest(1 - (self.reach + F.col("a_radius") + F.col("b_radius")), F.lit(0.0))
-        possible = written(_possible(pairs.join(side("a"), "a").join(side("b"), "b"), self.nodes, nearest, "wide"))
+        known = self.radius.withColumnRenamed("cell", "node").join(self.nodes.select("node", "n", "bits", "wide"), "node")
+        possible = written(_possible(pairs, known, nearest, "radius", "members"))
         apart = _measured(self.docs, self.nodes, possible.select("a", "b"), self.size, self.percent).join(possible, ["a", "b"])
         wide = lambda hub, guest: F.struct(F.col(hub).alias("hub"), F.col(guest).alias("guest"), F.col(f"{hub}_radius").alias("hub_radius"), F.col(f"{guest}_radius").alias("guest_radius"))
         boundary = written(apart.where(~F.col("links") & (F.col("far") <= self.reach + F.col("a_radius") + F.col("b_radius") + SLACK) & (F.col("a_radius") + F.col("b_radius") > 0)).select(
@@ -323,7 +325,7 @@ class _Space:
         # a hub's boundary is a region of members, dealt to the same blocks one level down
         members = written(window(own, 0).unionByName(window(guests, 1)))
         known = self.nodes.select(F.col("node").alias("cell"), F.lit(0.0).alias("radius"), "n", "bits")
-        near = written(_possible(_near(_open(members), known, self.reach), self.nodes, F.lit(self.percent / 100), "wide"))
+        near = written(_near(_open(members), known, self.reach))
         found = apart.where("links").select("a", "b")
         return found if near.isEmpty() else found.unionByName(_measured(self.docs, self.nodes, near, self.size, self.percent).where("links").select("a", "b"))
 
@@ -352,9 +354,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_i
     one = F.col("node") != F.coalesce("before", F.lit(None).cast("long"))
     rows = written(known.where(F.col("shared") & (one | (F.col("before").isNull() & F.col("after").isNotNull()))).select("region", "pivot", "node", "n", "inner"))
     votes = rows.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    likely = votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n")
-    for bits in ("bits", "wide"):
-        likely = _possible(likely, nodes, F.lit(percent / 100), bits)
+    likely = _possible(votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n"), nodes, F.lit(percent / 100))
     first = top_per_key(likely, ["b"], [F.col("n").desc(), F.col("a")], TRIED, "rank").select("a", "b")
     measured = _measured(docs, nodes, written(first), size, percent)
     links = measured.where("links").select("a", "b")
